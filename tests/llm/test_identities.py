@@ -86,7 +86,7 @@ def test_cosine_pairs_and_linkage_against_brute_force(spark):
     shares = {"p_given": 0.45, "p_family": 0.55}
 
     def grams(w):
-        return {f"^{w}$"[i : i + n] for n in (3,) for i in range(max(1, len(w) + 2 - n + 1))}
+        return {f"^{w}$"[i : i + n] for n in (2, 3) for i in range(max(1, len(w) + 2 - n + 1))}
 
     vec = {}
     for part, col in (("p_given", 2), ("p_family", 3)):

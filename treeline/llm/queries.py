@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import identities, packing, sourcefiles
+from treeline.llm import identities, leaks, packing, reading, sourcefiles
 from treeline.session import table
 
 
@@ -21,5 +21,13 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_bands(table(spark, d, "documents"), table(spark, d, "reading_labels")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
