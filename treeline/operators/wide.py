@@ -28,19 +28,19 @@ def metric_cells(rows: DataFrame, registry=None) -> DataFrame:
     without path, name or usable value are left out. NULL loaded_at counts as the earliest time.
     """
     names = names_by_kind(registry)
-    name = V.kebab(F.col("metric"))
     kind = F.when(F.col("attribute").isin(*names[QUANTITY]), QUANTITY).when(F.col("attribute").isin(*names[MEASURE]), MEASURE).otherwise(CLASSIFICATION)
-    raw = F.col("raw_value")
-    return (
-        rows.select(F.col("node_path").alias("entity"), name.alias("attribute"), "raw_value", F.col("loaded_at").alias("at"), F.col("entry_id").alias("tie"))
-        .where("entity IS NOT NULL AND attribute <> ''")
-        .withColumn("kind", kind)
-        .withColumn("q", F.when(F.col("kind") == QUANTITY, V.whole_number(raw)))
-        .withColumn("m", F.when(F.col("kind") == MEASURE, V.decimal_number(raw)))
-        .withColumn("c", F.when(F.col("kind") == CLASSIFICATION, V.usable_text(raw)))
-        .where(F.coalesce(F.col("q").cast("string"), F.col("m").cast("string"), F.col("c")).isNotNull())
-        .drop("raw_value")
+    text = F.col("text")
+    # name, text and kind are columns of their own so that each is computed once a row
+    read = rows.select(F.col("node_path").alias("entity"), V.kebab(F.col("metric")).alias("attribute"), V.usable_text(F.col("raw_value")).alias("text"), F.col("loaded_at").alias("at"), F.col("entry_id").alias("tie"))
+    typed = read.where("entity IS NOT NULL AND attribute <> '' AND text IS NOT NULL").withColumn("kind", kind)
+    valued = typed.withColumns(
+        {
+            "q": F.when(F.col("kind") == QUANTITY, V.whole_text(text)),
+            "m": F.when(F.col("kind") == MEASURE, V.decimal_text(text)),
+            "c": F.when(F.col("kind") == CLASSIFICATION, text),
+        }
     )
+    return valued.where("q IS NOT NULL OR m IS NOT NULL OR c IS NOT NULL").drop("text")
 
 
 def latest_cells(cells: DataFrame) -> DataFrame:
