@@ -298,6 +298,7 @@ def leaks(
     common = max(5.0, common_share * docs.count())
     once = found.dropDuplicates(["text_key", "item_id", "at"])
     frequency = once.select("text_key", "item_id", F.explode("at").alias("place")).groupBy("item_id", "place").agg(F.count_distinct("text_key").alias("df"))
+    # at most one row per shingle of the items, whatever the number of documents: small enough to broadcast
     weights = frequency.withColumn("weight", F.least(F.lit(1.0), F.log2(1 + F.lit(common) / F.col("df"))))
     # a chain's words: each place adds the words that the places before it don't cover, at its shingle's weight
     keyed = found.withColumn("chain", F.xxhash64("doc_id", "item_id", "at"))
