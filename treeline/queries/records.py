@@ -18,19 +18,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def commit_facts(commits: DataFrame) -> DataFrame:
-    """(key_kind, key_value, side, value) of commits: side c holds the commit, side p the partner of the key."""
-    rows = commits.select("commit_hash", V.email_key(F.col("author_email")).alias("author"), "changed_paths")
-    touched = rows.select("commit_hash", "author", F.explode_outer("changed_paths").alias("path")).select("commit_hash", "author", V.repo_path(F.col("path")).alias("path"))
-
-    def fact(rows: DataFrame, kind: str, side: str, key: str, value: str) -> DataFrame:
-        return rows.select(F.lit(kind).alias("key_kind"), F.col(key).alias("key_value"), F.lit(side).alias("side"), F.col(value).alias("value"))
-
-    return (
-        fact(rows, "author", "c", "author", "commit_hash")
-        .union(fact(touched, "author", "p", "author", "path"))
-        .union(fact(touched, "path", "c", "path", "commit_hash"))
-        .union(fact(touched, "path", "p", "path", "author"))
+    """(key_kind, key_value, side, value) of commits: side c holds the commit, side p the partner of the key.
+
+    All facts of a commit come out of one pass over its row.
+    """
+    paths = F.array_distinct(F.filter(F.transform(F.coalesce("changed_paths", F.array().cast("array<string>")), V.repo_path), lambda p: p.isNotNull()))
+    rows = commits.select("commit_hash", V.email_key(F.col("author_email")).alias("author"), paths.alias("paths"))
+
+    def fact(kind: str, side: str, key: F.Column, value: F.Column) -> F.Column:
+        return F.struct(F.lit(kind).alias("key_kind"), key.alias("key_value"), F.lit(side).alias("side"), value.alias("value"))
+
+    author, commit = F.col("author"), F.col("commit_hash")
+    facts = F.concat(
+        F.array(fact("author", "c", author, commit)),
+        F.transform("paths", lambda p: fact("author", "p", author, p)),
+        F.transform("paths", lambda p: fact("path", "c", p, commit)),
+        F.transform("paths", lambda p: fact("path", "p", p, author)),
     )
+    return rows.select(F.explode(facts).alias("f")).select("f.*").where("key_value IS NOT NULL")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
