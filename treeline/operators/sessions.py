@@ -76,32 +76,45 @@ def gap_tree(start: np.ndarray, end: np.ndarray, n: np.ndarray, leaf: np.ndarray
     return rows
 
 
-def _emit(entity: str, parts: list[pd.DataFrame], whole: bool) -> pd.DataFrame:
-    p = pd.concat(parts) if len(parts) > 1 else parts[0]
-    cols = [p[c].to_numpy() for c in ("started", "ended", "n", "leaf")]
-    return pd.DataFrame(gap_tree(*cols, entity, whole), columns=["entity", "gap", "parent_gap", "started", "ended", "n", "final", "leaf"]).astype({"gap": "Int64", "parent_gap": "Int64"})
+_COLUMNS = [c.split(" ")[0] for c in NODE.split(", ")]
 
 
-def _chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _table(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS).astype({"parent_gap": "Int64"})
+
+
+def _chunk(batches: Iterator[pd.DataFrame], flush_rows: int = 50_000) -> Iterator[pd.DataFrame]:
     """One range of (entity, started): its first and last entity may go on in other ranges, all others are whole."""
-    entity, parts, first = None, [], True
+    entity, parts, first, rows = None, [], True, []
+
+    def finish(whole: bool) -> list[tuple]:
+        columns = parts[0] if len(parts) == 1 else [np.concatenate(c) for c in zip(*parts)]
+        return gap_tree(*columns, entity, whole)
+
     for batch in batches:
         if batch.empty:
             continue
         names = batch["entity"].to_numpy()
+        columns = [batch[c].to_numpy() for c in ("started", "ended", "n", "leaf")]
         cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
         for a, b in zip(cuts, cuts[1:]):
             if entity is not None and names[a] != entity:
-                yield _emit(entity, parts, whole=not first)
+                rows += finish(whole=not first)
                 parts, first = [], False
+                if len(rows) >= flush_rows:
+                    yield _table(rows)
+                    rows = []
             entity = names[a]
-            parts.append(batch.iloc[a:b])
+            parts.append([c[a:b] for c in columns])
     if entity is not None:
-        yield _emit(entity, parts, whole=False)
+        rows += finish(whole=False)
+    if rows:
+        yield _table(rows)
 
 
 def _merge(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-    return _emit(key[0], [items.sort_values("started")], whole=True)
+    items = items.sort_values("started")
+    return _table(gap_tree(*(items[c].to_numpy() for c in ("started", "ended", "n", "leaf")), key[0], True))
 
 
 def session_tree(events: DataFrame, entity: str, at_us: str) -> DataFrame:
