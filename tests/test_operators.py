@@ -285,3 +285,30 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert sorted((r.who, r.events) for r in spark.table("s").collect()) == [("a", 2), ("a", 2), ("b", 1)]
     assert sorted((r.who, r.events) for r in spark.table("w").collect()) == [("a", 2), ("a", 2), ("b", 1)]
+
+
+def test_views(spark, sf_dir):
+    from treeline import views
+    from treeline.plans.expr import ExpressionError
+    from treeline.queries import metrics
+
+    assert views.Spec.parse("file-size , terrain") == views.Spec("file-size", "terrain")
+    for bad in ("", "file-size,nope"):
+        with pytest.raises(ExpressionError):
+            views.Spec.parse(bad)
+    nodes = metrics._view_nodes(spark, sf_dir.replace("sf0.01", "sf0.001")).cache()
+    n_files = nodes.where("node_kind = 'file'").count()
+    shapes = views.render("size-map", nodes, width=800.0, height=600.0)
+    assert shapes.columns == list(views.SHAPE) and shapes.where("layer = 20").count() <= n_files
+    svg = views.to_svg(shapes, 800, 600)
+    assert svg.startswith("<svg") and svg.count("<rect") == shapes.count()
+    bubbles = views.bubble_tree(nodes, "file-lines").toPandas()
+    assert len(bubbles) == n_files + (bubbles["layer"] == views.STRUCTURE).sum()
+    assert (bubbles["x"] - bubbles["r"]).min() > -540 and bubbles["r"].gt(0).all()
+    points = views.scatter_plot(nodes.where("node_kind = 'file'"), "file-type", "file-size", "file-lines", log=("file-size",)).toPandas()
+    assert points["x"].between(96, 1080).all() and points["colour"].str.match("#[0-9a-f]{6}$").all()
+    with pytest.raises(ValueError):
+        views.spiral(spark.createDataFrame([(BASE,)], "ts timestamp_ntz"), "ts")
+    days = spark.createDataFrame([(datetime(2025, 3, 1),), (datetime(2025, 3, 9),)], "t timestamp_ntz")
+    assert [r[0] for r in days.select(views.spiral_labels(F.col("t"))).collect()] == ["Mar", "9"]
+    assert views.legend(nodes.where("node_kind = 'file'"), views.Spec.parse("file-type")).count() > 2

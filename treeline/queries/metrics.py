@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline import views
 from treeline.functions import gosource
 from treeline.operators import authorship, bucketing, export, globs, history, layout, rollup, scatter, timebuckets, tree
 from treeline.plans.expr import Resolved, check, resolve, valid_expressions
@@ -621,3 +622,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "c03_go_rollup": c03,
 }
 ORACLES = metric_sql.ORACLES
+
+
+# views
+
+
+def _view_nodes(spark, d) -> DataFrame:
+    found = nodes(spark, d)
+    facts = file_facts(spark, d).select("node_path", "file-size", "file-lines", "file-type")
+    seen = history.file_history(touches(spark, d), _as_of()).select(F.concat_ws("/", "repo_slug", "file_path").alias("node_path"), F.col("commit_count").alias("commit-count"), F.col("file_freshness").alias("file-freshness"), F.col("total_lines_added").alias("total-lines-added"))
+    return found.join(facts, "node_path", "left").join(seen, "node_path", "left")
+
+
+QUERIES |= {
+    "v01_tree_map": lambda spark, d: views.tree_map(_view_nodes(spark, d), "file-lines", "file-type"),
+    "v02_bubble_tree": lambda spark, d: views.bubble_tree(_view_nodes(spark, d), "file-lines", "file-freshness"),
+    "v03_radial_tree": lambda spark, d: views.radial_tree(_view_nodes(spark, d), "file-size", "file-type"),
+    "v04_spiral": lambda spark, d: views.spiral(_events(spark, d), "ts", resolution="hourly"),
+    "v05_scatter": lambda spark, d: views.scatter_plot(_view_nodes(spark, d).where("node_kind = 'file'"), "file-size", "file-type", "commit-count", log=("file-size",)),
+    "v06_legend": lambda spark, d: views.legend(_view_nodes(spark, d).where("node_kind = 'file'"), views.Spec.parse("file-size,terrain")),
+}
