@@ -29,3 +29,11 @@ def test_query_equals_sql(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_materialise_and_drop(spark):
+    from treeline import session
+
+    df = session.materialise(spark.range(5))
+    assert df.count() == 5 and session.shared_folder(spark) in df.inputFiles()[0]
+    assert session.drop_materialised(spark) > 0 and session.drop_materialised(spark) == 0

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+_written: list[str] = []
 
 
 def get_spark(app: str = "treeline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -52,9 +53,20 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/treeline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_materialised(spark: SparkSession) -> int:
+    """Delete all tables that this process has written into the shared folder, once no result needs them any more."""
+    jvm = spark._jvm
+    dropped = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        dropped += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return dropped
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the project's Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
