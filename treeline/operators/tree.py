@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def latest_nodes(nodes: DataFrame) -> DataFrame:
-    """One row per node: the latest scan of each."""
+    """One row per node: the latest scan of each, of equally late ones the greater value.
+
+    Each column is an aggregate of its own, so that columns nobody asks for are neither read nor shuffled.
+    """
     others = [c for c in nodes.columns if c not in ("node_id", "scanned_at")]
-    last = F.max_by(F.struct(*others), F.col("scanned_at")).alias("n")
-    return nodes.where("node_id IS NOT NULL AND node_path IS NOT NULL").groupBy("node_id").agg(last).select("node_id", "n.*")
+    last = [F.max(F.struct("scanned_at", F.col(c).alias("v"))).getField("v").alias(c) for c in others]
+    return nodes.where("node_id IS NOT NULL AND node_path IS NOT NULL").groupBy("node_id").agg(*last)
 
 
 def prefixes(path: Column) -> Column:
