@@ -219,9 +219,8 @@ def table_of(rows: DataFrame, columns: Mapping[str, list[str]], element: str) ->
 
 def latest_readable(docs: DataFrame, doc_id: str, payload: str, at: str, root: str) -> DataFrame:
     """The latest sent payload of each document among those that can be read and have a root."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("boolean")
+    @F.pandas_udf("boolean")
     def readable(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: parse(t, root) is not None).astype(bool)
 

@@ -481,7 +481,7 @@ def l01(spark, d):
 
 
 def l02(spark, d):
-    """Sizes of orders interpolated over a plane of day and customer, at the places of all orders of every tenth day."""
+    """Prices of all orders over a plane of day and customer group, interpolated half a day after each of their places."""
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double")
     seen = table(spark, d, "orders").groupBy(day.alias("ox"), (F.col("o_custkey") % 97).cast("double").alias("oy")).agg(F.sum("o_totalprice").alias("value"))
     points = seen.select((F.col("ox") + 0.5).alias("px"), F.col("oy").alias("py"))

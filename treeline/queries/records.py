@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import values as V
 from treeline.operators import nested, sessions, skew, wide
-from treeline.session import table
+from treeline.session import materialise, table
 
 SESSION_GAP_US = 30 * 60 * 1_000_000
 
@@ -61,7 +61,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = nested.latest_readable(table(spark, d, "export_payloads"), "export_id", "payload", "exported_at", "root")
+    docs = materialise(nested.latest_readable(table(spark, d, "export_payloads"), "export_id", "payload", "exported_at", "root"))
     rows, _ = nested.shred(docs, "export_id", "payload", nested.EXPORT_SHAPE)
     kind = F.when(F.col("element") == "directories", "dir").when(F.col("element") == "files", "file")
     out = rows.select(F.col("doc").cast("bigint").alias("export_id"), F.col("label_path").alias("node_path"), "parent_path", kind.alias("node_kind"))
@@ -79,6 +79,9 @@ def _names(kind: str) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names_by_kind()[kind]) + ")"
 
 
+_JSON_NAME = "coalesce(nullif(json_extract_string({n}, '$.name'), ''), regexp_extract(rtrim(json_extract_string({n}, '$.path'), '/'), '([^/]*)$', 1), '')"
+_JSON_LIST = "CASE json_type(node, '$.{k}') WHEN 'ARRAY' THEN CAST(json_extract(node, '$.{k}') AS JSON[]) WHEN 'OBJECT' THEN [json_extract(node, '$.{k}')] ELSE [] END"
+
 ORACLES = {
     "p1_found": f"""
         WITH named AS (
@@ -115,4 +118,18 @@ ORACLES = {
         g AS (SELECT author_email, t, t - lag(t) OVER (PARTITION BY author_email ORDER BY t) AS gap FROM c WHERE author_email IS NOT NULL AND t IS NOT NULL),
         s AS (SELECT author_email, t, sum(CASE WHEN gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY author_email ORDER BY t) AS s FROM g)
         SELECT author_email, min(t) AS started_us, max(t) AS ended_us, count(*) AS n_commits FROM s GROUP BY author_email, s""",
+    "p5_found": f"""
+        WITH RECURSIVE docs AS (
+            SELECT export_id, json_extract(payload, '$.root') AS root FROM export_payloads
+            WHERE json_valid(payload) AND CASE WHEN json_valid(payload) THEN json_type(payload, '$.root') END = 'OBJECT'
+            QUALIFY row_number() OVER (PARTITION BY export_id ORDER BY exported_at DESC) = 1),
+        t(export_id, node, node_path, parent_path, node_kind) AS (
+            SELECT export_id, root, {_JSON_NAME.format(n="root")}, '', 'dir' FROM docs
+            UNION ALL
+            SELECT export_id, c.node, node_path || '/' || {_JSON_NAME.format(n="c.node")}, node_path, c.kind FROM (
+                SELECT export_id, node_path, unnest(list_concat(
+                    list_transform({_JSON_LIST.format(k="directories")}, lambda d: {{'node': d, 'kind': 'dir'}}),
+                    list_transform({_JSON_LIST.format(k="files")}, lambda d: {{'node': d, 'kind': 'file'}}))) AS c FROM t)
+            WHERE json_type(c.node) = 'OBJECT')
+        SELECT DISTINCT export_id, node_path, parent_path, node_kind FROM t""",
 }
