@@ -3,7 +3,8 @@
 Bounded-space online best-fit. A task keeps a fixed number of open bins in a bitset keyed by free space; a text goes into
 the fullest bin that still holds it, found with two bit operations. If none does, a new bin is opened, and if that is one
 too many, the fullest open bin closes first. Bins never cross tasks, so there is no shuffle of the texts; what is left in
-the bins still open at the end of the tasks (a bounded number each) is packed once more, larger items first.
+the bins still open at the end of the tasks (a bounded number each) is packed once more, larger items first, in groups of
+bounded size with no need to close a bin.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from treeline.session import materialise
 
 CAPACITY = 2048
-OPEN_BINS = 128
+OPEN_BINS = 512
 # Fixed value: how the tokenizer of byte_bpe_50k divides a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -135,7 +136,8 @@ def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capa
         left = [b for b in batches if len(b)]
         if left:
             all_left = pd.concat(left).sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True])
-            for out in _pack(zip(all_left["doc_id"].tolist(), all_left["piece_no"].tolist(), all_left["n_tokens"].tolist()), capacity, open_bins):
+            items = zip(all_left["doc_id"].tolist(), all_left["piece_no"].tolist(), all_left["n_tokens"].tolist())
+            for out in _pack(items, capacity, len(all_left)):
                 yield out.assign(closed=True)
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
