@@ -194,3 +194,8 @@ def test_nested_tables_and_edges(spark):
     assert {r.doc for r in rows.select("doc").distinct().collect()} == {"1", "7"}
     empty, cols = nested.shred(spark.createDataFrame([], "id string, payload string"), "id", "payload", nested.EXPORT_SHAPE)
     assert empty.count() == 0 and cols == {}
+
+
+@pytest.mark.parametrize("name", sorted(records.QUERIES))
+def test_queries_without_rows_and_with_nulls(spark, bare_tables, name):
+    assert [records.QUERIES[name](spark, d).count() for d in bare_tables] == [0, 0]

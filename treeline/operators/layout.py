@@ -251,6 +251,8 @@ def bubble_tree(nodes: DataFrame, max_depth: int, gap: float = 2.0) -> DataFrame
         packed = materialise(level.groupBy("parent_path").applyInPandas(pack, "node_path string, dx double, dy double, radius double, is_parent boolean"))
         out.append(packed.where("NOT is_parent").drop("is_parent"))
         dirs = packed.where("is_parent").select("node_path", "radius")
+    if dirs is None:  # nothing has a parent
+        dirs = base.select("node_path", F.sqrt("size").alias("radius"))
     roots = dirs.select("node_path", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), "radius")
     return reduce(DataFrame.unionByName, [*out, roots])
 
