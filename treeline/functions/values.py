@@ -39,7 +39,7 @@ def whole_number(c: Column) -> Column:
 def whole_text(t: Column) -> Column:
     """whole_number of a usable_text."""
     n = F.replace(F.when(t.rlike(_WHOLE), t), F.lit(","), F.lit("")).try_cast("decimal(38,10)")
-    return F.when(n == F.floor(n), n).try_cast("bigint")
+    return F.coalesce(t.try_cast("bigint"), F.when(n == F.floor(n), n).try_cast("bigint"))
 
 
 def decimal_number(c: Column) -> Column:
