@@ -152,6 +152,10 @@ def test_circles_do_not_overlap():
 
 
 def test_spiral_and_surface(spark):
+    assert layout.largest_disc(0, 800, 600, 28) == 4.0 and 0 < layout.largest_disc(365, 800, 600, 28) < layout.largest_disc(30, 800, 600, 28)
+    unit = [F.lit(float(v)) for v in (0, 0, 2, 2, 0, 0, 10, 10)]
+    focus = layout.gradient_focus(tuple(unit[:4]), tuple(unit[4:]), F.lit(0.25))
+    assert tuple(spark.range(1).select(*focus).first()) == (1.0, 1.0)
     assert layout.daily_cadence(1, 800, 600) == 28 and layout.daily_cadence(365, 800, 600) in layout.DAILY_CADENCES
     points = layout.poisson_points(50, 40, 4)
     assert all(math.dist(a, b) >= 4 for i, a in enumerate(points) for b in points[:i]) and len(points) > 60
@@ -311,4 +315,7 @@ def test_views(spark, sf_dir):
         views.spiral(spark.createDataFrame([(BASE,)], "ts timestamp_ntz"), "ts")
     days = spark.createDataFrame([(datetime(2025, 3, 1),), (datetime(2025, 3, 9),)], "t timestamp_ntz")
     assert [r[0] for r in days.select(views.spiral_labels(F.col("t"))).collect()] == ["Mar", "9"]
+    assert views.footer("at $date $time", datetime(2025, 3, 9, 7, 5)) == "at 2025-03-09 07:05:00"
+    numbers = spark.createDataFrame([(2.0,), (2.25,)], "v double")
+    assert [r[0] for r in numbers.select(views.breakpoint_label(F.col("v"))).collect()] == ["2", "2.3"]
     assert views.legend(nodes.where("node_kind = 'file'"), views.Spec.parse("file-type")).count() > 2

@@ -48,6 +48,20 @@ def daily_cadence(buckets: int, width: float, height: float) -> int:
     return min(DAILY_CADENCES, key=lambda c: (unevenness(c), c != DEFAULT_CADENCE))
 
 
+def disc_border(radius: float) -> float:
+    """The stroke of a disc."""
+    return 2.0 if radius < 8 else 3.0
+
+
+def largest_disc(buckets: int, width: float, height: float, per_lap: int) -> float:
+    """The largest radius with which no two discs of a spiral touch, strokes included: along the innermost lap or across laps."""
+    if buckets == 0:
+        return 4.0
+    inner, growth, angle = spiral_size(buckets, width, height, per_lap)
+    room = min(inner / per_lap, growth) * math.pi if angle else inner
+    return max(0.0, room - disc_border(room) / 2) * (1 - 1e-12)
+
+
 def disc_radius(value: Column, largest: Column, max_disc: float, active: Column) -> Column:
     """The radius of a bucket's disc: by the root of its share, floored; 0 for a bucket without events."""
     floor = min(DISC_FLOOR, max_disc)
@@ -174,6 +188,16 @@ def treemap(nodes: DataFrame, width: float, height: float, max_depth: int) -> Da
     return reduce(DataFrame.unionByName, levels)
 
 
+def gradient_focus(box: tuple[Column, Column, Column, Column], around: tuple[Column, Column, Column, Column], weight: Column) -> tuple[Column, Column]:
+    """Where the light falls on a box, in shares of it: from its middle towards that of the box around by its weight."""
+
+    def towards(at: Column, size: Column, outer_at: Column, outer_size: Column) -> Column:
+        middle = at + size / 2
+        return F.when(size > 0, (middle + (outer_at + outer_size / 2 - middle) * weight - at) / size).otherwise(0.5)
+
+    return towards(box[0], box[2], around[0], around[2]), towards(box[1], box[3], around[1], around[3])
+
+
 # packed circles
 
 

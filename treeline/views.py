@@ -70,6 +70,16 @@ def inked(rows: DataFrame, spec: Spec, registry: Registry | None = None, missing
     return rows.join(F.broadcast(bounds)).withColumn("colour", F.when(v.isNull(), bucketing.GREY).otherwise(colour)).drop("boundaries")
 
 
+def breakpoint_label(v: Column) -> Column:
+    """A boundary for display: whole numbers without, others with one decimal."""
+    return F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.format_string("%.1f", v))
+
+
+def footer(text: str, now) -> str:
+    """text with $date and $time of a moment."""
+    return text.replace("$date", now.strftime("%Y-%m-%d")).replace("$time", now.strftime("%H:%M:%S"))
+
+
 def legend(rows: DataFrame, spec: Spec, registry: Registry | None = None) -> DataFrame:
     """(place, colour, label): a swatch per bucket, labelled with its upper boundary (the last has none), or per category."""
     registry = registry or base_registry()
@@ -79,7 +89,7 @@ def legend(rows: DataFrame, spec: Spec, registry: Registry | None = None) -> Dat
         return bucketing.category_colours(rows.select(c.alias("category")), "category", palette).select("place", "colour", F.col("category").alias("label"))
     bounds = bucketing.boundaries(rows.select(c.cast("double").alias("v")), "v", len(bucketing.colours(palette)))
     places = bounds.select("boundaries", F.explode(F.sequence(F.lit(0), F.size("boundaries"))).alias("place"))
-    label = F.get("boundaries", F.col("place")).cast("string")
+    label = breakpoint_label(F.get("boundaries", F.col("place")))
     return places.select("place", bucketing.colour_of(F.col("place"), F.col("boundaries"), palette).alias("colour"), label.alias("label"))
 
 
@@ -157,7 +167,7 @@ def spiral_labels(started: Column) -> Column:
     return F.when(F.day(started) == 1, F.date_format(started, "MMM")).otherwise(F.day(started).cast("string"))
 
 
-def spiral(events: DataFrame, at: str, width: float = 1080.0, height: float = 1080.0, resolution: str = "daily", max_disc: float = 40.0) -> DataFrame:
+def spiral(events: DataFrame, at: str, width: float = 1080.0, height: float = 1080.0, resolution: str = "daily", max_disc: float | None = None) -> DataFrame:
     """A disc per bucket along a spiral, sized and coloured by its number of events; empty buckets have no disc."""
     counts = materialise(timebuckets.bucket_counts(events, at, resolution))
     n = counts.count()
@@ -165,6 +175,7 @@ def spiral(events: DataFrame, at: str, width: float = 1080.0, height: float = 10
         raise ValueError("all events are at one moment, or there are none")
     per_lap = layout.daily_cadence(n, width, height) if resolution == "daily" else timebuckets.RESOLUTIONS[resolution][2]
     placed = layout.spiral_positions(counts, n, width, height, per_lap)
+    max_disc = layout.largest_disc(n, width, height, per_lap) if max_disc is None else max_disc
     scale = bucketing.boundaries(counts, "events", len(bucketing.colours("temperature"))).select("boundaries")
     rows = placed.join(F.broadcast(counts.agg(F.max("events").alias("most")))).join(F.broadcast(scale))
     colour = bucketing.colour_of(bucketing.bucket_index(F.col("events"), F.col("boundaries")), F.col("boundaries"), "temperature")
