@@ -92,6 +92,29 @@ def test_leaks(spark):
             assert x.words <= brute_words(words[x.doc_id], passage[x.item_id]) + 1e-9
 
 
+def test_many_leaked_documents_and_notices(spark):
+    """However many documents carry an item they all leak it; what different items share is a notice, even if few documents carry it."""
+    notice = prose(22, 998)
+    passage = {i: prose(80, 500 + i) for i in range(3)} | {i: notice + prose(60, 500 + i) for i in (3, 4)}
+    passage[5] = edit(passage[0], 15)  # the same passage again
+    passage[6] = passage[1][45:] + prose(50, 506)  # a neighbouring cut of the same text
+    texts, expected = [], set()
+    for d in range(300):
+        body = prose(120, 20_000 + d)
+        if d % 3 == 0:
+            body[60:60] = passage[0]
+            expected |= {(d, 0), (d, 5)}
+        elif d % 3 == 1:
+            body[60:60] = passage[1][45:75] if d % 2 else passage[2][20:46]
+            expected |= {(d, 1), (d, 6)} if d % 2 else {(d, 2)}
+        elif d < 9:
+            body[60:60] = notice
+        texts.append((d, " ".join(body), "", ""))
+    items = [(i, " ".join(w), "") for i, w in passage.items()]
+    got = {(x.doc_id, x.item_id) for x in L.leaks(spark.createDataFrame(texts, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == expected
+
+
 def test_leaks_empty(spark):
     docs, items = spark.createDataFrame([(1, "a b c", "", "")], DOCS), spark.createDataFrame([(1, "x", "")], ITEMS)
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0 and L.leaks(docs, items).count() == 0

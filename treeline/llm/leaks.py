@@ -3,9 +3,9 @@
 Every window of `window` words of every document and of every item gets a 64-bit SimHash. A multi-index over four blocks of
 16 bits finds all item fingerprints within Hamming distance 3 of a document's (of four blocks at least one must agree
 exactly), so no window at that radius is missed. The candidate pairs are then verified on the words: five-word shingles that
-document and item share, chained in order of place. A shingle weighs by how rare it is over all distinct documents, so a
-standing notice that ordinary documents carry counts for little. A document carries an item if the weighted number of its
-words in one chain reaches `min_words`.
+document and item share, chained in order of place. A standing notice is told by standing in several different items; its
+shingles don't count. All others count in full, however many documents carry them. A document carries an item if the number
+of its words in one chain reaches `min_words`.
 """
 
 from __future__ import annotations
@@ -18,18 +18,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.session import materialise
-
 WINDOW = 9
 RADIUS = 3
 SHINGLE = 5
 MIN_WORDS = 20.0
-#: A shingle that more than this share of the distinct documents carry is part of a standing text.
-COMMON_SHARE = 0.005
+#: Words in one run that different items share from which on it is a standing notice, not a stock phrase.
+NOTICE_WORDS = 10
+#: Passages that share this much of the shorter one are copies of each other; what they share is no notice.
+COPY_SHARE = 0.75
 #: Item windows that are indexed at once; more items are taken in blocks, each with a pass over the documents.
 BLOCK_WINDOWS = 400_000
 
-CHAIN = "doc_id bigint, text_key bigint, item_id bigint, at array<int>"
+FOUND = "doc_id bigint, item_id bigint, words double"
 
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>|&#?\w{2,8};")
 _WORD = re.compile(r"[^\W_]+")
@@ -140,11 +140,12 @@ class BlockIndex:
 class Items:
     """The items of one block: fingerprints of their windows and their shingles."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str, list[int]]]):
         vocabulary = Vocabulary()
-        self.ids = np.array([i for i, _ in items], np.int64)
+        self.ids = np.array([i for i, _, _ in items], np.int64)
+        self.standing = [np.array(places, np.int64) for _, _, places in items]
         prints, print_of, keys, key_of, key_at = [], [], [], [], []
-        for k, (_, text) in enumerate(items):
+        for k, (_, text, _) in enumerate(items):
             numbers = vocabulary.numbers(words_of(text))
             p, s = simhashes(vocabulary.signs[numbers]), shingle_keys(vocabulary.hashes[numbers])
             prints.append(p)
@@ -191,8 +192,54 @@ def covered(at: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.minimum(np.diff(at, prepend=at[:1] - size), size)
 
 
-def scan_texts(items: Items, docs: list[tuple[int, list[str]]], vocabulary: Vocabulary, keep_words: float) -> Iterator[tuple[int, int, int, list[int]]]:
-    """(doc_id, text_key, item_id, item places) of each verified chain that covers at least keep_words words."""
+def standing_places(passages: list[list[str]]) -> list[list[int]]:
+    """For each passage the places of its shingles that belong to a standing notice.
+
+    A notice is a run of shingles that a different passage has too. Passages that are copies of each other, or neighbouring
+    cuts of one text (the end of one is the beginning of the other), share their text and no notice.
+    """
+    number: dict[tuple[str, ...], int] = {}
+    known = [number.setdefault(tuple(p), len(number)) for p in passages]  # equal passages count once
+    distinct = [list(p) for p in number]
+    shingles = [[tuple(p[k : k + SHINGLE]) for k in range(len(p) - SHINGLE + 1)] for p in distinct]
+    places: list[dict[tuple[str, ...], int]] = [dict(zip(reversed(s), reversed(range(len(s))))) for s in shingles]
+    holders: dict[tuple[str, ...], list[int]] = {}
+    for i, at in enumerate(places):
+        for s in at:
+            holders.setdefault(s, []).append(i)
+
+    def shared(i: int, j: int) -> set[int]:
+        """The places of i that are a notice if j is the other passage."""
+        mine = np.array([k for k, s in enumerate(shingles[i]) if s in places[j]])
+        if covered(mine).sum() >= COPY_SHARE * min(len(distinct[i]), len(distinct[j])):
+            return set()
+        found: set[int] = set()
+        for run in np.split(mine, np.flatnonzero(np.diff(mine) > 1) + 1):
+            first, last = int(run[0]), int(run[-1])
+            there = places[j][shingles[i][first]], places[j][shingles[i][last]]
+            ends, ends_there = last == len(shingles[i]) - 1, there[1] == len(shingles[j]) - 1
+            neighbours = (ends and there[0] == 0 and not ends_there) or (first == 0 and ends_there and there[0] > 0)
+            if last - first + SHINGLE >= NOTICE_WORDS and not neighbours:
+                found.update(run.tolist())
+        return found
+
+    out = []
+    for i, own in enumerate(shingles):
+        notice: set[int] = set()
+        seen = {i}
+        for k, s in enumerate(own):
+            for j in holders[s]:
+                if k in notice:
+                    break
+                if j not in seen:
+                    seen.add(j)
+                    notice |= shared(i, j)
+        out.append(sorted(notice))
+    return [out[k] for k in known]
+
+
+def scan_texts(items: Items, docs: list[tuple[int, list[str]]], vocabulary: Vocabulary, min_words: float) -> Iterator[tuple[int, int, float]]:
+    """(doc_id, item_id, words) of each verified chain that covers at least min_words words outside standing notices."""
     numbers = [vocabulary.numbers(w) for _, w in docs]
     lengths = np.array([len(n) for n in numbers])
     flat = np.concatenate(numbers)
@@ -205,7 +252,6 @@ def scan_texts(items: Items, docs: list[tuple[int, list[str]]], vocabulary: Voca
         return
     hashes = vocabulary.hashes[flat]
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    text_keys: dict[int, int] = {}
     n_items = len(items.ids)
     for d in np.unique(candidates // n_items).tolist():
         keys = shingle_keys(hashes[starts[d] : starts[d + 1]])
@@ -213,38 +259,35 @@ def scan_texts(items: Items, docs: list[tuple[int, list[str]]], vocabulary: Voca
         pair = d * n_items + items.key_of[k].astype(np.int64)
         good = np.isin(pair, candidates)
         for p, at in _chains(items, pair[good], i[good], items.key_at[k[good]].astype(np.int64)):
-            if covered(at).sum() >= keep_words:
-                if d not in text_keys:
-                    import xxhash
-
-                    text_keys[d] = int(np.uint64(xxhash.xxh64_intdigest(hashes[starts[d] : starts[d + 1]].tobytes())).astype(np.int64))
-                yield docs[d][0], text_keys[d], int(items.ids[p % n_items]), at.tolist()
+            words = float(covered(at)[~np.isin(at, items.standing[p % n_items])].sum())
+            if words >= min_words:
+                yield docs[d][0], int(items.ids[p % n_items]), words
 
 
-def item_blocks(items: DataFrame, item_id: str, passage: str, block_windows: int) -> list[list[tuple[int, str]]]:
-    """The query set on the driver, in blocks of bounded size."""
-    blocks: list[list[tuple[int, str]]] = [[]]
+def item_blocks(items: DataFrame, item_id: str, passage: str, block_windows: int) -> list[list[tuple[int, str, list[int]]]]:
+    """The query set on the driver, each item with the places of its standing notices, in blocks of bounded size."""
+    blocks: list[list[tuple[int, str, list[int]]]] = [[]]
     size = 0
-    rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(passage).alias("p")).where("i IS NOT NULL AND p IS NOT NULL").distinct().orderBy("i")
-    for r in rows.toLocalIterator():
+    rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(passage).alias("p")).where("i IS NOT NULL AND p IS NOT NULL").distinct().orderBy("i").collect()
+    for r, standing in zip(rows, standing_places([words_of(r.p) for r in rows])):
         n = r.p.count(" ") + 1
         if blocks[-1] and size + n > block_windows:
             blocks.append([])
             size = 0
-        blocks[-1].append((r.i, r.p))
+        blocks[-1].append((r.i, r.p, standing))
         size += n
     return [b for b in blocks if b]
 
 
-def chains(docs: DataFrame, block: list[tuple[int, str]], keep_words: float = 12.0, chunk_words: int = 60_000) -> DataFrame:
-    """CHAIN rows of all documents (doc_id, text) for one block of items: one pass, no shuffle."""
+def chains(docs: DataFrame, block: list[tuple[int, str, list[int]]], min_words: float, chunk_words: int = 60_000) -> DataFrame:
+    """FOUND rows of all documents (doc_id, text) for one block of items: one pass, no shuffle."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, vocabulary = Items(block), Vocabulary()
-        names = ["doc_id", "text_key", "item_id", "at"]
+        names = ["doc_id", "item_id", "words"]
 
         def flush(part: list) -> pd.DataFrame:
-            found = list(scan_texts(items, part, vocabulary, keep_words))
+            found = list(scan_texts(items, part, vocabulary, min_words))
             if len(vocabulary.number) > vocabulary.most:
                 vocabulary.clear()
             return pd.DataFrame(found, columns=names)
@@ -266,7 +309,7 @@ def chains(docs: DataFrame, block: list[tuple[int, str]], keep_words: float = 12
             if len(out):
                 yield out
 
-    return docs.mapInPandas(scan, CHAIN)
+    return docs.mapInPandas(scan, FOUND)
 
 
 def leaks(
@@ -277,39 +320,20 @@ def leaks(
     item_id: str = "item_id",
     passage: str = "passage",
     min_words: float = MIN_WORDS,
-    common_share: float = COMMON_SHARE,
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """(doc_id, item_id, words): the documents that carry an item's passage or part of it, and how much (weighted words).
+    """(doc_id, item_id, words): the documents that carry an item's passage or part of it, and how much (words outside standing notices).
 
     NULL ids, texts and passages and texts shorter than a window give no row; repeated documents and items give one row a
-    pair; very long texts are scanned whole; no items or no documents: an empty result. Exact copies of a document count once
-    in a shingle's frequency, so a leak isn't taken for a standing text because its document was copied.
+    pair; very long texts are scanned whole; no items or no documents: an empty result. How many documents carry an item
+    makes no difference.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     blocks = item_blocks(items, item_id, passage, block_windows)
     if not blocks:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, words double")
-    found = chains(rows, blocks[0])
+        return spark.createDataFrame([], FOUND)
+    found = chains(rows, blocks[0], min_words)
     for block in blocks[1:]:
-        found = found.unionByName(chains(rows, block))
-    found = materialise(found)
-    common = max(5.0, common_share * docs.count())
-    once = found.dropDuplicates(["text_key", "item_id", "at"])
-    frequency = once.select("text_key", "item_id", F.explode("at").alias("place")).groupBy("item_id", "place").agg(F.count_distinct("text_key").alias("df"))
-    # at most one row per shingle of the items, whatever the number of documents: small enough to broadcast
-    weights = frequency.withColumn("weight", F.least(F.lit(1.0), F.log2(1 + F.lit(common) / F.col("df"))))
-    # a chain's words: each place adds the words that the places before it don't cover, at its shingle's weight
-    keyed = found.withColumn("chain", F.xxhash64("doc_id", "item_id", "at"))
-    before = F.lag("place").over(_in_chain())
-    places = keyed.select("doc_id", "item_id", "chain", F.explode("at").alias("place")).distinct()
-    adds = places.withColumn("adds", F.least(F.lit(SHINGLE), F.coalesce(F.col("place") - before, F.lit(SHINGLE))))
-    weighed = adds.join(F.broadcast(weights), ["item_id", "place"]).groupBy("doc_id", "item_id", "chain").agg(F.sum(F.col("adds") * F.col("weight")).alias("words"))
-    return weighed.groupBy("doc_id", "item_id").agg(F.max("words").alias("words")).where(F.col("words") >= min_words)
-
-
-def _in_chain():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id", "item_id", "chain").orderBy("place")
+        found = found.unionByName(chains(rows, block, min_words))
+    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
