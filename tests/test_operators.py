@@ -168,6 +168,14 @@ def test_spiral_and_surface(spark):
     assert near == 4.0
 
 
+def test_draw_order_has_every_disc(spark, sf_dir):
+    from treeline.queries import metrics
+
+    rows = [(-r.radius, r.label, r.node_id) for r in metrics.s06(spark, sf_dir).collect()]
+    assert rows == sorted(rows) and len(rows) > 100
+    assert sorted(r[2] for r in rows) == sorted(r.node_id for r in metrics.s04(spark, sf_dir).collect())
+
+
 def test_layout_tables(spark, sf_dir):
     from treeline.queries import metrics
 

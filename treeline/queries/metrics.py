@@ -423,9 +423,9 @@ def s05(spark, d):
 
 
 def s06(spark, d):
-    """Draw order of the discs: large ones first, then by label; its first hundred, as a top-k report."""
+    """All discs in drawing order: large ones first, then by label."""
     rows = s04(spark, d).join(_scatter_rows(spark, d).select("node_id", F.col("node_name").alias("label")), "node_id")
-    return rows.orderBy(F.desc("radius"), "label", "node_id").limit(100)
+    return rows.orderBy(F.desc("radius"), "label", "node_id")
 
 
 def s07(spark, d):
