@@ -118,6 +118,21 @@ def test_cosine_pairs_and_linkage_against_brute_force(spark):
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, clusters))
 
 
+def spellings(name, n, seed):
+    """n spellings of a name, each with another letter in one place of the family name or one letter more."""
+    r, given, family = random.Random(seed), *name.split(" ")
+    found = {family: None}
+    while len(found) < n:
+        k, c = r.randrange(1, len(family)), r.choice("abcdefghijklmnopqrstuvwxyz")
+        found[family[:k] + c + family[k + r.randrange(2) :]] = None
+    return [f"{given} {f.capitalize()}" for f in found]
+
+
+def test_hundreds_of_spellings_of_one_name(spark):
+    names = spellings("Theodore Kakenultenovarimus", 450, 3)
+    assert groups(spark, [(n, None) for n in names]) == [list(range(450))]
+
+
 def test_same_pairs(spark):
     found = spark.createDataFrame([(1, 9), (2, 9), (3, 9), (4, 8), (2, 9)], "sig_id bigint, entity bigint")
     assert sorted(tuple(x) for x in I.same_pairs(found).collect()) == [(1, 2), (1, 3), (2, 3)]

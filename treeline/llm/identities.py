@@ -326,18 +326,19 @@ def cosines(vecs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", sim.alias("sim"))
 
 
-def average_linkage(ids: DataFrame, pairs: DataFrame, threshold: float, max_rounds: int = 40) -> DataFrame:
+def average_linkage(ids: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(pid, cluster): average-linkage clusters of ids at the threshold; pairs that aren't given count as 0.
 
     Rounds of merging all clusters that are each other's most similar one. Average linkage is reducible, so this gives the
     same tree as merging one pair at a time. No component is ever collected; each round is joins and sums over the edges.
-    Ties go to the smaller ids. Raises RuntimeError if it isn't done after max_rounds.
+    Ties go to the smaller ids. A round merges at least the most similar clusters of all, so there are fewer after each and it
+    ends; a name of many spellings, most of which are nearest to the same cluster, takes many rounds.
     """
     member = materialise(ids.select("pid", F.col("pid").alias("cluster")))
     size = ids.select(F.col("pid").alias("c"), F.lit(1).cast("bigint").alias("n"))
     edges = pairs.select("a", "b", F.col("sim").alias("total"))
     edges = materialise(edges.union(edges.select(F.col("b"), F.col("a"), F.col("total"))))
-    for _ in range(max_rounds):
+    while True:
         sized = edges.join(size.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
         avg = sized.withColumn("avg", F.round(F.col("total") / (F.col("na") * F.col("nb")), 9)).where(F.col("avg") >= threshold)
         best = avg.groupBy("a").agg(F.max_by("b", F.struct("avg", -F.greatest("a", "b"), -F.least("a", "b"))).alias("b"))
@@ -350,7 +351,6 @@ def average_linkage(ids: DataFrame, pairs: DataFrame, threshold: float, max_roun
         edges = materialise(moved.groupBy("a", "b").agg(F.sum("total").alias("total")))
         member = materialise(member.join(mutual, member["cluster"] == mutual["gone"], "left").select("pid", F.coalesce("kept", "cluster").alias("cluster")))
         size = member.groupBy(F.col("cluster").alias("c")).agg(F.count("*").alias("n"))
-    raise RuntimeError("average linkage isn't done")
 
 
 def same_family(known: DataFrame) -> DataFrame:
