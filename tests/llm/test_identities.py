@@ -73,6 +73,18 @@ def test_entities(spark):
     assert groups(spark, rows) == [[0, 1, 2, 3, 4, 5], [6, 7], [8, 9], [10], [11], [12], [13]]
 
 
+def test_organisations_of_several_words(spark):
+    rows = [
+        ("Red Hat Inc", "info@redhat.example"),
+        ("Red Cross Foundation", "info@redcross.example"),
+        ("Hat Red Inc", None),
+        ("University of Oslo Lab", None),
+        ("University of Bergen Lab", None),
+        ("University of Osloo Laboratory", None),
+    ]
+    assert groups(spark, rows) == [[0, 2], [1], [3, 5], [4]]
+
+
 def test_empty_and_repeated(spark):
     assert groups(spark, []) == []
     assert groups(spark, [("Noor Tasaletar", "noor.tasaletar@a.example")] * 5) == [[0, 1, 2, 3, 4]]

@@ -243,11 +243,12 @@ def profiles(read: DataFrame) -> DataFrame:
     """read with the profile of each signature: p_given, p_family (full or ""), p_org, initial, start.
 
     A personal address tells more than the name typed with it; a name with a shared mailbox or none stands for itself.
+    An organisation's profile has all words of its name in alphabetical order.
     """
     owned = read.join(address_owners(read), "address", "left")
     personal = F.coalesce(F.col("owner_family") != "", F.lit(False)) & ((F.col("rel") != "none") | ((F.col("family") == "") & (F.col("start") == "")) | F.col("bare"))
     by_owner = personal & (F.col("owner_given") != "")
-    org = F.when(F.col("org") != "", F.substring_index("org", " ", 1)).otherwise("")
+    org = F.when(F.col("org") != "", F.array_join(F.array_sort(F.split("org", " ")), " ")).otherwise("")
     return owned.select(
         "sig_id",
         "repo_slug",
