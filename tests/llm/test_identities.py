@@ -85,6 +85,11 @@ def test_organisations_of_several_words(spark):
     assert groups(spark, rows) == [[0, 2], [1], [3, 5], [4]]
 
 
+def test_long_beginnings_of_family_names(spark):
+    rows = [("Theodore Vandermeulenbroeck", None), ("vandermeulenbr51", None), ("Vandermeulenbroeck", None), ("Susanna Vandermolenaarsen", None), ("Noor " + "z" * 50_000, None)]
+    assert groups(spark, rows) == [[0, 1, 2], [3], [4]]
+
+
 def test_empty_and_repeated(spark):
     assert groups(spark, []) == []
     assert groups(spark, [("Noor Tasaletar", "noor.tasaletar@a.example")] * 5) == [[0, 1, 2, 3, 4]]

@@ -415,7 +415,9 @@ def entities(signatures: DataFrame, threshold: float = 0.6) -> DataFrame:
     names = people.select("repo_slug", "entity", "p_given", "p_family").distinct()
     by_address = _only(sure.where("address <> '' AND personal").select(F.col("address").alias("k"), "entity"), "k", "entity")
     glued = names.select(F.explode(F.array(F.concat("p_given", "p_family"), F.concat("p_family", "p_given"), F.concat(F.substring("p_given", 1, 1), "p_family"))).alias("k"), "entity")
-    starts = names.select("repo_slug", "entity", F.substring("p_given", 1, 1).alias("i"), "p_given", "p_family", F.explode(F.sequence(F.lit(1), F.least(F.length("p_family"), F.lit(12)))).alias("len"))
+    # the beginnings of family names in the lengths that are asked for: few, and small enough to broadcast
+    lengths = loose.where("p_family = '' AND start <> ''").select(F.length("start").alias("len")).distinct()
+    starts = names.join(F.broadcast(lengths), F.col("len") <= F.length("p_family")).select("repo_slug", "entity", "p_given", "p_family", "len")
     start = F.substring("p_family", 1, F.col("len"))
     tests = [
         (F.when(F.col("address") != "", F.col("address")), by_address),
