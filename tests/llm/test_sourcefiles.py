@@ -52,6 +52,16 @@ def test_judge(text, ext, reason):
     assert S.judge(text, ext, "mine") == reason
 
 
+@pytest.mark.parametrize("tail", ["\x01\ufffd" * 300, "\x01\ufffd" * 3000])
+def test_binary_data_behind_a_plain_head(tail):
+    r = random.Random(2)
+    plain = HAND + "".join("// " + "".join(r.choices("abcdefgh ", k=60)) + "\n" for _ in range(90))
+    assert len(plain) > 4096 and S.judge(plain, "go", "mine") is None
+    assert S.judge(plain + "// " + tail, "go", "mine") == "data"
+    assert S.judge(plain + "// " + tail + "\n" + plain, "go", "mine") == "data"
+    assert S.judge(plain + "// \x01\n", "go", "mine") is None
+
+
 def test_very_long_text_is_lexed_whole():
     long = HAND * 300
     assert S.judge(long, "go", "mine") in (None, "generated")

@@ -52,7 +52,7 @@ _HOLDER = re.compile(r"copyright (?:\(c\) )?(?:\d{4}(?:-\d{4})? )?(?:by )?the (\
 @dataclass(frozen=True)
 class Limits:
     """expansion: canonical lines a line; uniform: share of lines that repeat; literal: share of code characters; control:
-    share of control and replacement characters at the head."""
+    share of control and replacement characters in any stretch."""
 
     expansion: float = 1.8
     uniform: float = 0.6
@@ -131,8 +131,10 @@ def examined(text: str | None, extension: str, repo: str | None, limits: Limits
 
 
 def _reason(text: str, code: str, literals: list[str], repo: str | None, limits: Limits) -> str | None:
-    head = text[:4096]
-    if len(_CONTROL.findall(head)) > limits.control * len(head):
+    # binary data may begin anywhere, so the worst stretch of 4,096 characters counts
+    places = [m.start() for m in _CONTROL.finditer(text)]
+    many = int(limits.control * min(len(text), 4096))
+    if any(last - first < 4096 for first, last in zip(places, places[many:])):
         return "data"
     expansion, uniform, literal, repeats = layout(code, literals)
     if literal >= limits.literal:
