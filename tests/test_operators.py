@@ -168,6 +168,19 @@ def test_spiral_and_surface(spark):
     assert near == 4.0
 
 
+def test_logarithmic_axis_with_a_zero(spark, monkeypatch):
+    from treeline.queries import metrics
+
+    for sizes in ((0, 5, 9), (1, 5, 9), ()):
+        df = spark.createDataFrame([(i, x, 1, 1) for i, x in enumerate(sizes)], "node_id bigint, x bigint, y bigint, size bigint")
+        monkeypatch.setattr(metrics, "_scatter_rows", lambda spark, d, df=df: df)
+        if 0 in sizes:
+            with pytest.raises(ValueError, match="x"):
+                metrics.s03(spark, "")
+        else:
+            assert metrics.s03(spark, "").count() == len(sizes)
+
+
 def test_draw_order_has_every_disc(spark, sf_dir):
     from treeline.queries import metrics
 

@@ -407,7 +407,7 @@ def s02(spark, d):
 
 def s03(spark, d):
     plot = scatter.plot_area(WIDTH, HEIGHT)
-    rows = _with_extent(spark, d).where("lo_x > 0")
+    rows = scatter.require_positive(_with_extent(spark, d), "x")
     return rows.select("node_id", F.round(scatter.across(scatter.logarithmic(F.col("x"), F.col("lo_x"), F.col("hi_x")), plot), 6).alias("px"))
 
 
