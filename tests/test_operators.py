@@ -168,6 +168,15 @@ def test_spiral_and_surface(spark):
     assert near == 4.0
 
 
+def test_small_circles_fill_the_gaps_of_the_first():
+    radii = [10.0] * 100 + [0.5] * 3
+    centres, _ = layout.pack_circles(radii)
+    for a in range(len(radii)):
+        for b in range(a):
+            assert math.dist(centres[a], centres[b]) >= radii[a] + radii[b] - 1e-6
+    assert all(abs(math.dist(centres[k], centres[0]) - 10.5) < 1e-6 for k in range(100, 103))
+
+
 def test_logarithmic_axis_with_a_zero(spark, monkeypatch):
     from treeline.queries import metrics
 

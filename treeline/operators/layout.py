@@ -202,38 +202,45 @@ def gradient_focus(box: tuple[Column, Column, Column, Column], around: tuple[Col
 
 
 def pack_circles(radii: list[float], gap: float = 0.0) -> tuple[list[tuple[float, float]], float]:
-    """(centres, radius of the circle around all): each circle, large ones first, touches two placed ones as near the middle as can be."""
+    """(centres, radius of the circle around all): each circle, large ones first, touches two placed ones as near the middle as can be.
+
+    All pairs of placed circles are tried between which a circle of the size can lie; as sizes fall, pairs too far apart for
+    one circle are so for all later ones. A place taken remembers by which circle, which mostly settles it the next time.
+    """
     order = sorted(range(len(radii)), key=lambda k: (-radii[k], k))
-    placed: list[tuple[float, float, float]] = []
-    for k in order:
-        r = radii[k] + gap
-        if not placed:
-            placed.append((0.0, 0.0, r))
-            continue
-        if len(placed) == 1:
-            placed.append((placed[0][2] + r, 0.0, r))
-            continue
-        p = np.array(placed)
-        recent = range(max(0, len(placed) - 60), len(placed))
-        best = None
-        for i in recent:
-            for j in range(i):
-                d = math.hypot(p[i, 0] - p[j, 0], p[i, 1] - p[j, 1])
-                a, b = p[i, 2] + r, p[j, 2] + r
-                if d == 0 or d > a + b:
-                    continue
-                along = (a * a - b * b + d * d) / (2 * d)
-                off = math.sqrt(max(a * a - along * along, 0.0))
-                ux, uy = (p[j, 0] - p[i, 0]) / d, (p[j, 1] - p[i, 1]) / d
-                for s in (1, -1):
-                    x, y = p[i, 0] + along * ux - s * off * uy, p[i, 1] + along * uy + s * off * ux
-                    far = x * x + y * y
-                    if (best is None or far < best[0]) and (np.hypot(p[:, 0] - x, p[:, 1] - y) >= p[:, 2] + r - 1e-9).all():
-                        best = (far, x, y)
-        if best is None:
-            reach = float((np.hypot(p[:, 0], p[:, 1]) + p[:, 2]).max())
-            best = (0.0, reach + r, 0.0)
-        placed.append((best[1], best[2], r))
+    rs = np.array([radii[k] + gap for k in order], dtype=float)
+    xs, ys = np.zeros(len(order)), np.zeros(len(order))
+    i, j, taken = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    for m, r in enumerate(rs.tolist()):
+        px, py, pr = xs[:m], ys[:m], rs[:m]
+        if m == 1:
+            xs[m] = pr[0] + r
+        elif m > 1:
+            dx, dy = px[j] - px[i], py[j] - py[i]
+            d = np.hypot(dx, dy)
+            a, b = pr[i] + r, pr[j] + r
+            near = (d > 0) & (d <= a + b)
+            d = np.where(d > 0, d, 1.0)
+            along = (a * a - b * b + d * d) / (2 * d)
+            off = np.sqrt(np.maximum(a * a - along * along, 0.0))
+            ux, uy = dx / d, dy / d
+            x = np.stack([px[i] + along * ux - off * uy, px[i] + along * ux + off * uy], axis=1)
+            y = np.stack([py[i] + along * uy + off * ux, py[i] + along * uy - off * ux], axis=1)
+            open_ = np.flatnonzero((near[:, None] & (np.hypot(px[taken] - x, py[taken] - y) >= pr[taken] + r - 1e-9)).ravel())
+            x, y, by = x.ravel(), y.ravel(), taken.reshape(-1)
+            far = x[open_] ** 2 + y[open_] ** 2
+            for c in open_[np.argsort(far, kind="stable")].tolist():
+                room = np.hypot(px - x[c], py - y[c]) - pr - r
+                if room.min() >= -1e-9:
+                    xs[m], ys[m] = x[c], y[c]
+                    break
+                by[c] = room.argmin()
+            else:
+                xs[m] = float((np.hypot(px, py) + pr).max()) + r
+        beside = np.flatnonzero(np.hypot(px - xs[m], py - ys[m]) <= pr + 3 * r + 1e-9)
+        i, j = np.concatenate([i, np.full(len(beside), m)]), np.concatenate([j, beside])
+        taken = np.concatenate([taken, np.zeros((len(beside), 2), np.int64)])
+    placed = list(zip(xs.tolist(), ys.tolist(), rs.tolist()))
     cx, cy, around = enclosing_circle(placed)
     centres = [(0.0, 0.0)] * len(radii)
     for k, (x, y, _) in zip(order, placed):
