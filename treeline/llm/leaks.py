@@ -1,33 +1,45 @@
 """Evaluation passages inside training documents: which document carries which held-out item, whole or in part.
 
-Every window of `window` words of every document and of every item gets a 64-bit SimHash. A multi-index over four blocks of
-16 bits finds all item fingerprints within Hamming distance 3 of a document's (of four blocks at least one must agree
-exactly), so no window at that radius is missed. The candidate pairs are then verified on the words: five-word shingles that
-document and item share, chained in order of place. A standing notice is told by standing in several different items; its
-shingles don't count. All others count in full, however many documents carry them. A document carries an item if the number
-of its words in one chain reaches `min_words`.
+Items are cut into windows of `window` words, one every `STRIDE` words and one at the end, so that an excerpt of
+window + STRIDE - 1 words holds a whole window. These and the windows at every position of every document get a 64-bit
+SimHash. A multi-index over three blocks of 21 and 22 bits finds all item windows within Hamming distance 11 of a
+document's: one of the three blocks must then differ in 3 bits at most, and each item window is filed under all values of
+each block that near. So no window at that radius is missed, though a word in six was altered. The candidate pairs are then
+verified on the words: five-word shingles that document and item share, chained in order of place. A standing notice is told
+by standing in several different items; its shingles weigh nothing. All others count in full, however many documents carry
+them. A document carries an item if the words of its chains reach `min_words`, in one piece or in several.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 9
-RADIUS = 3
+WINDOW = 17
+STRIDE = 8
+RADIUS = 11
+BLOCK_BITS = (21, 21, 22)
 SHINGLE = 5
 MIN_WORDS = 20.0
+#: A chain of fewer words is a stock phrase; in a chain, shared shingles are at most GAP words apart and DRIFT out of step.
+CHAIN_WORDS = 10
+GAP = 30
+DRIFT = 12
 #: Words in one run that different items share from which on it is a standing notice, not a stock phrase.
 NOTICE_WORDS = 10
 #: Passages that share this much of the shorter one are copies of each other; what they share is no notice.
 COPY_SHARE = 0.75
-#: Item windows that are indexed at once; more items are taken in blocks, each with a pass over the documents.
-BLOCK_WINDOWS = 400_000
+#: Item windows that are indexed at once (12 kB each); more items are taken in blocks, each with a pass over the documents.
+BLOCK_WINDOWS = 16_000
 
 FOUND = "doc_id bigint, item_id bigint, words double"
 
@@ -102,26 +114,35 @@ def shingle_keys(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return key
 
 
-class BlockIndex:
-    """Fingerprints by each of their four 16-bit blocks."""
+def near_values(bits: int, flips: int) -> np.ndarray:
+    """All masks of so many bits with at most `flips` bits set."""
+    ones = [1 << k for k in range(bits)]
+    return np.array([sum(c) for n in range(flips + 1) for c in combinations(ones, n)], np.int64)
 
-    def __init__(self, prints: np.ndarray):
-        self.prints = prints
-        self.blocks = []
-        for b in range(4):
-            value = self._block(prints, b)
-            order = np.argsort(value, kind="stable").astype(np.int32)
-            self.blocks.append((np.searchsorted(value[order], np.arange(65_537)).astype(np.int32), order))
 
-    @staticmethod
-    def _block(prints: np.ndarray, b: int) -> np.ndarray:
-        return ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+class BlockIndex:
+    """Fingerprints filed by each of their blocks, under every value that differs in radius // blocks bits at most."""
 
-    def within(self, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-        """(i, j): all pairs with Hamming distance <= radius (at most 3) of prints[i] and the indexed j; may repeat."""
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS, bits: tuple[int, ...] = BLOCK_BITS):
+        self.prints, self.radius = prints, radius
+        self.shifts = np.cumsum([0, *bits[:-1]]).tolist()
+        self.masks = [(1 << b) - 1 for b in bits]
+        self.blocks = []
+        for k, b in enumerate(bits):
+            near = self._block(prints, k)[:, None] ^ near_values(b, radius // len(bits))
+            filed = np.sort((near << 24 | np.arange(len(prints))[:, None]).ravel())
+            start = np.zeros((1 << b) + 1, np.int64)
+            np.cumsum(np.bincount(filed >> 24, minlength=1 << b), out=start[1:])
+            self.blocks.append((start.astype(np.int32), (filed & 0xFFFFFF).astype(np.int32)))
+
+    def _block(self, prints: np.ndarray, k: int) -> np.ndarray:
+        return ((prints >> np.uint64(self.shifts[k])) & np.uint64(self.masks[k])).astype(np.int64)
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): all pairs with Hamming distance <= radius of prints[i] and the indexed j; may repeat."""
         left, right = [], []
-        for b, (start, order) in enumerate(self.blocks):
-            value = self._block(prints, b)
+        for k, (start, filed) in enumerate(self.blocks):
+            value = self._block(prints, k)
             first, count = start[value], start[value + 1] - start[value]
             hit = np.flatnonzero(count)
             if not len(hit):
@@ -129,8 +150,8 @@ class BlockIndex:
             count = count[hit]
             i = np.repeat(hit, count)
             inner = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-            j = order[np.repeat(first[hit], count) + inner]
-            near = np.bitwise_count(prints[i] ^ self.prints[j]) <= radius
+            j = filed[np.repeat(first[hit], count) + inner]
+            near = np.bitwise_count(prints[i] ^ self.prints[j]) <= self.radius
             left.append(i[near])
             right.append(j[near])
         none = np.zeros(0, np.int64)
@@ -140,29 +161,32 @@ class BlockIndex:
 class Items:
     """The items of one block: fingerprints of their windows and their shingles."""
 
-    def __init__(self, items: list[tuple[int, str, list[int]]]):
+    def __init__(self, items: list[tuple[int, str, list[int]]], radius: int = RADIUS):
         vocabulary = Vocabulary()
         self.ids = np.array([i for i, _, _ in items], np.int64)
-        self.standing = [np.array(places, np.int64) for _, _, places in items]
-        prints, print_of, keys, key_of, key_at = [], [], [], [], []
-        for k, (_, text, _) in enumerate(items):
+        prints, print_of, keys, key_of, key_at, weight = [], [], [], [], [], []
+        for k, (_, text, standing) in enumerate(items):
             numbers = vocabulary.numbers(words_of(text))
             p, s = simhashes(vocabulary.signs[numbers]), shingle_keys(vocabulary.hashes[numbers])
+            p = p[sorted({*range(0, len(p), STRIDE), *([len(p) - 1] if len(p) else [])})]
             prints.append(p)
             print_of.append(np.full(len(p), k, np.int32))
             keys.append(s)
             key_of.append(np.full(len(s), k, np.int32))
             key_at.append(np.arange(len(s), dtype=np.int32))
-        self.index = BlockIndex(np.concatenate(prints))
+            weight.append(~np.isin(key_at[-1], standing))
+        self.index = BlockIndex(np.concatenate(prints), radius)
         self.print_of = np.concatenate(print_of)
         all_keys = np.concatenate(keys)
         order = np.argsort(all_keys, kind="stable")
-        self.keys, self.key_of, self.key_at = all_keys[order], np.concatenate(key_of)[order], np.concatenate(key_at)[order]
+        self.keys, self.key_of, self.key_at, self.key_weight = all_keys[order], *(np.concatenate(x)[order] for x in (key_of, key_at, weight))
 
-    def candidates(self, prints: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
-        """Distinct doc * items + item of the windows' fingerprints."""
+    def candidates(self, prints: np.ndarray, doc_of: np.ndarray, n_docs: int) -> np.ndarray:
+        """For each doc * items + item whether windows of both are near each other."""
         i, j = self.index.within(prints)
-        return np.unique(doc_of[i].astype(np.int64) * len(self.ids) + self.print_of[j])
+        out = np.zeros(n_docs * len(self.ids), bool)
+        out[doc_of[i] * len(self.ids) + self.print_of[j]] = True
+        return out
 
     def shared(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(i, k): places i whose key is that of the item shingle k (in the sorted order)."""
@@ -174,19 +198,6 @@ class Items:
         return i, np.repeat(first[hit], count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _chains(items: Items, pair: np.ndarray, place: np.ndarray, at: np.ndarray, gap: int = 30, drift: int = 12) -> Iterator[tuple[int, np.ndarray]]:
-    """(pair, item places) of each chain: shared shingles in order of place in the document, close together and in step."""
-    if not len(pair):
-        return
-    order = np.lexsort((at, place, pair))
-    pair, place, at = pair[order], place[order], at[order]
-    step = place - at
-    cut = (np.diff(pair) != 0) | (np.diff(place) > gap) | (np.abs(np.diff(step)) > drift)
-    bounds = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(pair)]])
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        yield int(pair[a]), np.unique(at[a:b])
-
-
 def covered(at: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """How many words each of the sorted places adds to those before it."""
     return np.minimum(np.diff(at, prepend=at[:1] - size), size)
@@ -238,30 +249,65 @@ def standing_places(passages: list[list[str]]) -> list[list[int]]:
     return [out[k] for k in known]
 
 
-def scan_texts(items: Items, docs: list[tuple[int, list[str]]], vocabulary: Vocabulary, min_words: float) -> Iterator[tuple[int, int, float]]:
-    """(doc_id, item_id, words) of each verified chain that covers at least min_words words outside standing notices."""
+@dataclass(frozen=True)
+class Proof:
+    """What a candidate must show: words in all its chains, words in each, and how loose a chain may be."""
+
+    min_words: float = MIN_WORDS
+    chain_words: float = CHAIN_WORDS
+    gap: int = GAP
+    drift: int = DRIFT
+
+
+def _sums(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The sum over each value's group; group: numbers from 0 without gaps."""
+    return np.bincount(group, values)[group]
+
+
+def _told_words(pair: np.ndarray, place: np.ndarray, at: np.ndarray, weight: np.ndarray, proof: Proof) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, words) of shared shingles: chains in order of place, close together and in step; the words of long enough ones, summed."""
+    order = np.lexsort((at, place, pair))
+    pair, place, at, weight = pair[order], place[order], at[order], weight[order]
+    cut = (np.diff(pair) != 0) | (np.diff(place) > proof.gap) | (np.abs(np.diff(place - at)) > proof.drift)
+    chain = np.concatenate([[0], np.cumsum(cut)])
+    order = np.lexsort((at, chain))  # each item place once a chain
+    once = order[np.concatenate([[True], (np.diff(chain[order]) != 0) | (np.diff(at[order]) != 0)])]
+    chain, at, pair, weight = chain[once], at[once], pair[once], weight[once]
+    fresh = np.concatenate([[True], np.diff(chain) != 0])
+    long = _sums(np.where(fresh, SHINGLE, np.minimum(np.diff(at, prepend=0), SHINGLE)), chain) >= proof.chain_words
+    at, pair, weight = at[long], pair[long], weight[long]
+    if not len(pair):
+        return pair, np.zeros(0)
+    order = np.lexsort((at, pair))  # and once over all chains of a pair
+    once = order[np.concatenate([[True], (np.diff(pair[order]) != 0) | (np.diff(at[order]) != 0)])]
+    at, pair, weight = at[once], pair[once], weight[once]
+    fresh = np.concatenate([[True], np.diff(pair) != 0])
+    words = weight * np.where(fresh, SHINGLE, np.minimum(np.diff(at, prepend=0), SHINGLE))
+    return pair[fresh], np.add.reduceat(words, np.flatnonzero(fresh))
+
+
+def scan_texts(items: Items, docs: list[tuple[int, list[str]]], vocabulary: Vocabulary, proof: Proof) -> Iterator[tuple[int, int, float]]:
+    """(doc_id, item_id, words) of each verified pair: its chains cover at least min_words words outside standing notices."""
     numbers = [vocabulary.numbers(w) for _, w in docs]
     lengths = np.array([len(n) for n in numbers])
     flat = np.concatenate(numbers)
     doc_at = np.repeat(np.arange(len(docs)), lengths)
     prints = simhashes(vocabulary.signs[flat])
-    whole = doc_at[: len(prints)] == doc_at[len(doc_at) - len(prints) :]
-    where = np.flatnonzero(whole)
-    candidates = items.candidates(prints[where], doc_at[where])
-    if not len(candidates):
+    where = np.flatnonzero(doc_at[: len(prints)] == doc_at[len(doc_at) - len(prints) :])
+    candidate = items.candidates(prints[where], doc_at[where], len(docs))
+    asked = candidate.reshape(len(docs), -1).any(1)
+    keys = shingle_keys(vocabulary.hashes[flat])
+    where = np.flatnonzero(asked[doc_at[: len(keys)]] & (doc_at[: len(keys)] == doc_at[SHINGLE - 1 :]))
+    i, k = items.shared(keys[where])
+    i, n_items = where[i], len(items.ids)
+    pair = doc_at[i] * n_items + items.key_of[k]
+    good = candidate[pair]
+    if not good.any():
         return
-    hashes = vocabulary.hashes[flat]
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    n_items = len(items.ids)
-    for d in np.unique(candidates // n_items).tolist():
-        keys = shingle_keys(hashes[starts[d] : starts[d + 1]])
-        i, k = items.shared(keys)
-        pair = d * n_items + items.key_of[k].astype(np.int64)
-        good = np.isin(pair, candidates)
-        for p, at in _chains(items, pair[good], i[good], items.key_at[k[good]].astype(np.int64)):
-            words = float(covered(at)[~np.isin(at, items.standing[p % n_items])].sum())
-            if words >= min_words:
-                yield docs[d][0], int(items.ids[p % n_items]), words
+    found, words = _told_words(pair[good], i[good], items.key_at[k[good]].astype(np.int64), items.key_weight[k[good]], proof)
+    for p, w in zip(found.tolist(), words.tolist()):
+        if w >= proof.min_words:
+            yield docs[p // n_items][0], int(items.ids[p % n_items]), w
 
 
 def item_blocks(items: DataFrame, item_id: str, passage: str, block_windows: int) -> list[list[tuple[int, str, list[int]]]]:
@@ -270,7 +316,7 @@ def item_blocks(items: DataFrame, item_id: str, passage: str, block_windows: int
     size = 0
     rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(passage).alias("p")).where("i IS NOT NULL AND p IS NOT NULL").distinct().orderBy("i").collect()
     for r, standing in zip(rows, standing_places([words_of(r.p) for r in rows])):
-        n = r.p.count(" ") + 1
+        n = r.p.count(" ") // STRIDE + 2
         if blocks[-1] and size + n > block_windows:
             blocks.append([])
             size = 0
@@ -279,15 +325,22 @@ def item_blocks(items: DataFrame, item_id: str, passage: str, block_windows: int
     return [b for b in blocks if b]
 
 
-def chains(docs: DataFrame, block: list[tuple[int, str, list[int]]], min_words: float, chunk_words: int = 60_000) -> DataFrame:
+def chains(docs: DataFrame, block: list[tuple[int, str, list[int]]], proof: Proof, radius: int = RADIUS, chunk_words: int = 60_000) -> DataFrame:
     """FOUND rows of all documents (doc_id, text) for one block of items: one pass, no shuffle."""
 
+    key = uuid.uuid4().hex
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, vocabulary = Items(block), Vocabulary()
+        # a Python worker that runs several tasks builds the index once
+        kept = sys.modules.setdefault("_treeline_items", {})
+        if key not in kept:
+            kept.clear()
+            kept[key] = Items(block, radius)
+        items, vocabulary = kept[key], Vocabulary()
         names = ["doc_id", "item_id", "words"]
 
         def flush(part: list) -> pd.DataFrame:
-            found = list(scan_texts(items, part, vocabulary, min_words))
+            found = list(scan_texts(items, part, vocabulary, proof))
             if len(vocabulary.number) > vocabulary.most:
                 vocabulary.clear()
             return pd.DataFrame(found, columns=names)
@@ -319,21 +372,22 @@ def leaks(
     text: str = "text",
     item_id: str = "item_id",
     passage: str = "passage",
-    min_words: float = MIN_WORDS,
+    proof: Proof = Proof(),
+    radius: int = RADIUS,
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """(doc_id, item_id, words): the documents that carry an item's passage or part of it, and how much (words outside standing notices).
 
-    NULL ids, texts and passages and texts shorter than a window give no row; repeated documents and items give one row a
-    pair; very long texts are scanned whole; no items or no documents: an empty result. How many documents carry an item
-    makes no difference.
+    NULL ids, texts and passages and texts shorter than a window give no row; passages of fewer than WINDOW words are not
+    looked for; repeated documents and items give one row a pair; very long texts are scanned whole; no items or no
+    documents: an empty result. How many documents carry an item makes no difference.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     blocks = item_blocks(items, item_id, passage, block_windows)
     if not blocks:
         return spark.createDataFrame([], FOUND)
-    found = chains(rows, blocks[0], min_words)
+    found = chains(rows, blocks[0], proof, radius)
     for block in blocks[1:]:
-        found = found.unionByName(chains(rows, block, min_words))
+        found = found.unionByName(chains(rows, block, proof, radius))
     return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
