@@ -25,7 +25,7 @@ def test_packer_free_space_as_brute_force():
     packer, bins = P.Packer(100, 7), []
     for i in range(3000):
         size = r.randrange(0, 101)
-        packer.add(size, i)
+        packer.add(size, (i, 0, size))
         brute_add(bins, size, 100, 7, i)
         free = sorted(f for f, names in enumerate(packer.by_free) for _ in names)
         assert free == sorted(b[0] for b in bins)
@@ -62,5 +62,35 @@ def test_pack(spark):
     assert used / (2048 * len(fill)) > 0.98
 
 
+def test_repeated_ids_never_share_a_name(spark):
+    """Two rows of one id that both open a bin: no container above the capacity."""
+    text = {n: "tree " * n for n in (1500, 1000, 700)}
+    rows = [(1, text[1500]), (2, text[1500]), (1, text[1500]), (1, text[1000]), (1, text[700])] * 40
+    df = spark.createDataFrame([(d, t, "", "") for d, t in rows], DOCS).repartition(4)
+    out = P.pack_texts(df, open_bins=5).collect()
+    assert len(out) == len(rows)
+    assert len(check(out, 2048)) >= 120
+
+
+def test_bins_close_and_are_carried_on(spark):
+    r = random.Random(7)
+    df = spark.createDataFrame([(i, "tree " * r.randrange(1, 900), "", "") for i in range(2000)], DOCS).repartition(20)
+    fills = {}
+    for rounds in (False, True):
+        out = P.pack_texts(df, open_bins=8, rounds=rounds).collect()
+        assert sorted(x.doc_id for x in out) == list(range(2000))
+        fills[rounds] = check(out, 2048)
+    assert len(fills[True]) < len(fills[False])
+    least = sum(fills[True].values()) / 2048
+    assert len(fills[True]) < 1.1 * least
+
+
+def test_many_texts_without_tokens(spark, monkeypatch):
+    monkeypatch.setattr(P, "EMPTY_ROWS", 50)
+    df = spark.createDataFrame([(i, "" if i % 3 else None, "", "") for i in range(1000)], DOCS)
+    out = P.pack_texts(df, open_bins=2).collect()
+    assert sorted(x.doc_id for x in out) == list(range(1000))
+
+
 def test_pack_empty(spark):
     assert P.pack_texts(spark.createDataFrame([], DOCS)).count() == 0

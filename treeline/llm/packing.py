@@ -2,9 +2,9 @@
 
 Bounded-space online best-fit. A task keeps a fixed number of open bins in a bitset keyed by free space; a text goes into
 the fullest bin that still holds it, found with two bit operations. If none does, a new bin is opened, and if that is one
-too many, the fullest open bin closes first. Bins never cross tasks, so there is no shuffle of the texts; what is left in
-the bins still open at the end of the tasks (a bounded number each) is packed once more, larger items first, in groups of
-bounded size with no need to close a bin.
+too many, the fullest open bin closes first. So there is no shuffle of the texts. The bins that are still open at the end of
+a task are carried on: the tasks' open bins meet in rounds, a few tasks at a time, where the first task's bins stay as they
+are and the texts of the others' come to them by the same rule, until one set of open bins is left.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +21,14 @@ from treeline.session import materialise
 
 CAPACITY = 2048
 OPEN_BINS = 512
+#: Tasks whose open bins meet in one task of the next round.
+FAN_IN = 8
+#: Texts without tokens that wait for a bin to close, at most.
+EMPTY_ROWS = 100_000
 # Fixed value: how the tokenizer of byte_bpe_50k divides a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-PACKED = "doc_id bigint, piece_no int, n_tokens int, container_id string, closed boolean"
+PACKED = "doc_id bigint, piece_no int, n_tokens int, container_id string, task int, closed boolean"
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -44,41 +48,52 @@ def encoder(path: str):
 
 
 class Packer:
-    """Open bins by free space. add() gives the bin of an item; closed bins are never touched again."""
+    """Open bins by free space; each holds its rows until it closes. Bins are named after the task and their number in it."""
 
-    def __init__(self, capacity: int = CAPACITY, open_bins: int = OPEN_BINS):
-        self.capacity, self.limit = capacity, open_bins
-        self.bits, self.count = 0, 0
-        self.by_free: list[list] = [[] for _ in range(capacity + 1)]
+    def __init__(self, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, task: str = ""):
+        self.capacity, self.limit, self.task = capacity, open_bins, task
+        self.bits, self.count, self.opened = 0, 0, 0
+        self.by_free: list[list[tuple[str, list]]] = [[] for _ in range(capacity + 1)]
 
-    def _take(self, free: int):
+    def _take(self, free: int) -> tuple[str, list]:
         bins = self.by_free[free]
-        name = bins.pop()
+        taken = bins.pop()
         if not bins:
             self.bits &= ~(1 << free)
-        return name
+        return taken
 
-    def _put(self, free: int, name) -> None:
-        self.by_free[free].append(name)
+    def _put(self, free: int, bin_: tuple[str, list]) -> None:
+        self.by_free[free].append(bin_)
         self.bits |= 1 << free
 
-    def add(self, size: int, item):
-        """The name of the bin that takes the item (its first item); 0 <= size <= capacity."""
+    def carry(self, name: str, free: int, rows: list) -> None:
+        """Go on with an open bin of another task."""
+        self._put(free, (name, rows))
+        self.count += 1
+
+    def close(self) -> tuple[str, list] | None:
+        """The fullest open bin, which is closed by that; None if there is none."""
+        if not self.count:
+            return None
+        self.count -= 1
+        return self._take((self.bits & -self.bits).bit_length() - 1)
+
+    def add(self, size: int, row: tuple) -> tuple[str, list] | None:
+        """Put a row of so many tokens, 0 <= size <= capacity, into a bin; the bin that had to close for that, if any."""
         fitting = self.bits >> size
+        closed = None
         if fitting:
             free = size + (fitting & -fitting).bit_length() - 1
-            name = self._take(free)
+            bin_ = self._take(free)
         else:
-            if self.count == self.limit:
-                self._take((self.bits & -self.bits).bit_length() - 1)
-                self.count -= 1
-            free, name = self.capacity, item
+            if self.count >= self.limit:
+                closed = self.close()
+            free, bin_ = self.capacity, (f"{self.task}-{self.opened}", [])
+            self.opened += 1
             self.count += 1
-        self._put(free - size, name)
-        return name
-
-    def open_names(self) -> set:
-        return {name for bins in self.by_free for name in bins}
+        bin_[1].append(row)
+        self._put(free - size, bin_)
+        return closed
 
 
 def pieces(n_tokens: int, capacity: int) -> list[int]:
@@ -87,42 +102,73 @@ def pieces(n_tokens: int, capacity: int) -> list[int]:
     return [n_tokens] if n_tokens <= capacity else [capacity] * full + [rest] * (rest > 0)
 
 
-def _flush(rows: list[tuple], closed: np.ndarray) -> pd.DataFrame:
-    doc, piece, size, name = zip(*rows) if rows else ((), (), (), ())
-    names = np.array([f"{d}-{p}" for d, p in name], dtype=object)
-    return pd.DataFrame({"doc_id": np.array(doc, "int64"), "piece_no": np.array(piece, "int32"), "n_tokens": np.array(size, "int32"), "container_id": names, "closed": closed})
-
-
-def _pack(sized: Iterable[tuple[int, int, int]], capacity: int, open_bins: int) -> Iterator[pd.DataFrame]:
-    """Rows of (doc, piece, size) into rows of PACKED; closed=False for what lies in bins that are still open at the end."""
-    packer, rows = Packer(capacity, open_bins), []
-    held: dict = {}
-    for doc, piece, size in sized:
-        name = packer.add(size, (doc, piece))
-        held.setdefault(name, []).append((doc, piece, size, name))
-        if len(held) > 8 * open_bins:
-            alive = packer.open_names()
-            for done in [k for k in held if k not in alive]:
-                rows += held.pop(done)
-            yield _flush(rows, np.ones(len(rows), bool))
-            rows = []
-    alive = packer.open_names()
-    for closed in (True, False):
-        rows = [r for k, v in held.items() if (k not in alive) == closed for r in v]
-        yield _flush(rows, np.full(len(rows), closed))
-
-
-def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, path: str | None = None) -> DataFrame:
+_COLUMNS = [c.split(" ")[0] for c in PACKED.split(", ")]
+
+
+def _table(bins: list[tuple[str, list]], task: int, closed: bool) -> pd.DataFrame:
+    rows = [(*row, name, task, closed) for name, held in bins for row in held]
+    return pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "int64", "piece_no": "int32", "n_tokens": "int32", "task": "int32"})
+
+
+def _pack(rows: Iterable[tuple[int, int, int]], packer: Packer, task: int, last: bool) -> Iterator[pd.DataFrame]:
+    """(doc, piece, size) rows into rows of PACKED; closed=False for what lies in bins that are open at the end, unless last.
+
+    A row without tokens fits everywhere and waits for the next bin to close, so that no open bin grows with their number.
+    """
+    done: list[tuple[str, list]] = []
+    n_rows, empty = 0, []
+
+    def finish(bin_: tuple[str, list]) -> None:
+        nonlocal n_rows
+        bin_[1].extend(empty)
+        empty.clear()
+        done.append(bin_)
+        n_rows += len(bin_[1])
+
+    for row in rows:
+        if row[2] == 0:
+            empty.append(row)
+            if len(empty) >= EMPTY_ROWS:
+                finish(packer.close() or (f"{task}-empty-{packer.task}-{n_rows}", []))
+        elif (closed := packer.add(row[2], row)) is not None:
+            finish(closed)
+        if n_rows >= 20_000:
+            yield _table(done, task, True)
+            done, n_rows = [], 0
+    if empty:
+        for row in empty:
+            packer.add(0, row)
+    if done:
+        yield _table(done, task, True)
+    yield _table([b for bins in packer.by_free for b in bins], task, last)
+
+
+def _first_and_rest(batches: Iterable[pd.DataFrame], packer: Packer) -> Iterator[tuple[int, int, int]]:
+    """Carries the open bins of the first task among the rows and yields the rows of the others."""
+    left = pd.concat(list(batches))
+    first = left["task"].min()
+    for name, held in left[left["task"] == first].groupby("container_id", sort=True):
+        rows = list(zip(held["doc_id"].tolist(), held["piece_no"].tolist(), held["n_tokens"].tolist()))
+        packer.carry(name, packer.capacity - int(held["n_tokens"].sum()), rows)
+    rest = left[left["task"] != first].sort_values(["task", "container_id", "doc_id", "piece_no"])
+    yield from zip(rest["doc_id"].tolist(), rest["piece_no"].tolist(), rest["n_tokens"].tolist())
+
+
+def pack_texts(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, path: str | None = None, rounds: bool = True
+) -> DataFrame:
     """(doc_id, piece_no, n_tokens, container_id): the container of each text or piece.
 
     A text longer than the capacity is divided into full containers and a rest (piece_no 0, 1, ...); no other is divided.
     NULL and empty texts have 0 tokens and share a container like any other; NULL ids are left out. Repeated rows are packed
-    as separate texts of one id. A container is named after the first piece in it. An empty table gives an empty result.
+    as separate texts of one id; containers are named after the task that opened them and a number, so none is mixed up
+    with another. An empty table gives an empty result. path: the vocabulary, the same on all machines; by default each task
+    looks it up. rounds: whether open bins are carried on after the tasks, or else stay as they are.
     """
-    file = path or tokenizer_file()
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(file).encode_ordinary
+        task = TaskContext.get().partitionId()
+        encode = encoder(path or tokenizer_file()).encode_ordinary
 
         def sized() -> Iterator[tuple[int, int, int]]:
             for batch in batches:
@@ -130,19 +176,27 @@ def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capa
                     for k, size in enumerate(pieces(len(encode(t)) if t else 0, capacity)):
                         yield doc, k, size
 
-        yield from _pack(sized(), capacity, open_bins)
+        yield from _pack(sized(), Packer(capacity, open_bins, f"0-{task}"), task, False)
+
+    def meeting(number: int, last: bool):
+        def meet(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
+            packer = Packer(capacity, open_bins, f"{number}-{key[0]}")
+            return pd.concat(list(_pack(_first_and_rest([left], packer), packer, int(key[0]), last)))
 
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = [b for b in batches if len(b)]
-        if left:
-            all_left = pd.concat(left).sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True])
-            items = zip(all_left["doc_id"].tolist(), all_left["piece_no"].tolist(), all_left["n_tokens"].tolist())
-            for out in _pack(items, capacity, len(all_left)):
-                yield out.assign(closed=True)
+        return meet
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    once = materialise(rows.mapInPandas(first, PACKED))
-    left = once.where("NOT closed")
-    groups = 1 + left.count() // 100_000
-    rest = left.select("doc_id", "piece_no", "n_tokens").repartition(groups).mapInPandas(again, PACKED)
-    return once.where("closed").unionByName(rest).select("doc_id", "piece_no", "n_tokens", "container_id")
+    left = materialise(rows.mapInPandas(first, PACKED))
+    if not rounds:
+        return left.select("doc_id", "piece_no", "n_tokens", "container_id")
+    out, number = left.where("closed"), 0
+    left = left.where("NOT closed")
+    tasks = 1 + (left.agg(F.max("task")).first()[0] or 0)
+    while tasks > 1:
+        # a group is at most FAN_IN times open_bins bins
+        number, tasks = number + 1, -(-tasks // FAN_IN)
+        met = left.groupBy((F.col("task") / FAN_IN).cast("int").alias("group")).applyInPandas(meeting(number, tasks == 1), PACKED)
+        met = materialise(met)
+        out = out.unionByName(met.where("closed"))
+        left = met.where("NOT closed")
+    return out.unionByName(left).select("doc_id", "piece_no", "n_tokens", "container_id")
