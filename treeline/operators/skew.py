@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.session import materialise
+
 #: A key is heavy from this share of the rows on; there can be no more than 1/share such keys, so their list is bounded.
 HEAVY_SHARE = 0.005
 
@@ -19,10 +21,13 @@ HEAVY_SHARE = 0.005
 def heavy_keys(rows: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE) -> DataFrame:
     """The keys that hold at least `share` of the rows (by an upper estimate), at most ceil(2/share) rows.
 
-    One pass; each task keeps a sketch of bounded size and only sketches are shuffled. The sketch never misses a key above
-    the share and may name one that lies just below it, which changes the path such a key takes but not its result.
+    One pass over the key columns; each task keeps a sketch of bounded size and only sketches are shuffled. The sketch never
+    misses a key above the share and may name one that lies just below it, which changes the path such a key takes but not
+    its result. Its size follows from the share, of which it takes 0.0001 and more.
     """
-    k = min(int(2 / share) + 1, 2000)
+    if not 0.0001 <= share <= 1:
+        raise ValueError(f"share {share} is not between 0.0001 and 1")
+    k = int(2 / share) + 1
     key = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)))
     sketch = rows.select(key.alias("key")).agg(F.count("*").alias("n"), F.expr(f"approx_top_k(to_json(key), {k}, {20 * k})").alias("top"))
     found = sketch.select("n", F.explode("top").alias("t")).where(F.col("t.count") >= F.greatest(F.lit(2), share * F.col("n")))
@@ -31,17 +36,21 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE)
     return parsed.select(*(F.col(f"key.k{i}").alias(c) for i, c in enumerate(keys)))
 
 
-def distinct_counts(rows: DataFrame, keys: Sequence[str], value: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """keys, n_distinct: the number of distinct values of each key, evenly spread over the tasks.
+def distinct_counts(rows: DataFrame, keys: Sequence[str], values: Sequence[str], share: float = HEAVY_SHARE) -> DataFrame:
+    """keys, n_<value>...: the number of distinct values of each key in each value column, evenly spread over the tasks.
 
     NULL keys form no group; NULL values aren't counted (a key with NULL values only has 0). Repeated rows count once;
-    an empty input gives an empty result; columns other than keys and value are ignored.
+    an empty input gives an empty result; columns other than keys and values are ignored. The rows are written once, since
+    the sketch, the heavy and the light branch each read them.
     """
-    rows = rows.select(*keys, F.col(value).alias("_value")).where(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
-    heavy = heavy_keys(rows, keys, share).withColumn("_heavy", F.lit(True))
-    marked = rows.join(F.broadcast(heavy), list(keys), "left")
-    pairs = marked.where("_heavy").groupBy(*keys, "_value").agg(F.lit(1).alias("_one"))
-    of_heavy = pairs.groupBy(*keys).agg(F.count("_value").alias("n_distinct"))
-    light = marked.where("_heavy IS NULL").repartition(*keys)
-    of_light = light.groupBy(*keys).agg(F.count_distinct("_value").alias("n_distinct"))
+    keys, values = list(keys), list(values)
+    rows = materialise(rows.select(*keys, *values).where(" AND ".join(f"`{c}` IS NOT NULL" for c in keys)))
+    heavy = F.broadcast(heavy_keys(rows, keys, share))  # at most ceil(2/share) rows
+    # repeated (key, value) pairs meet in the task that reads them, before the shuffle on both
+    as_bytes = {v: F.col(v) if rows.schema[v].dataType.simpleString() == "binary" else F.col(v).cast("string").cast("binary") for v in values}
+    which = F.array(*(F.struct(F.lit(i).alias("i"), as_bytes[v].alias("v")) for i, v in enumerate(values)))
+    pairs = rows.join(heavy, keys, "left_semi").select(*keys, F.explode(which).alias("_f")).select(*keys, "_f.i", "_f.v").distinct()
+    of_heavy = pairs.groupBy(*keys).agg(*(F.count(F.when(F.col("i") == i, F.col("v"))).alias(f"n_{v}") for i, v in enumerate(values)))
+    light = rows.join(heavy, keys, "left_anti").repartition(*keys)
+    of_light = light.groupBy(*keys).agg(*(F.count_distinct(v).alias(f"n_{v}") for v in values))
     return of_heavy.unionByName(of_light)
