@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from treeline.session import materialise
 
+#: Items of one entity that are held at once (and the batch that goes beyond it).
+CHUNK_ROWS = 200_000
 NODE = "entity string, gap bigint, parent_gap bigint, started bigint, ended bigint, n bigint, final boolean, leaf boolean"
 
 
@@ -83,9 +85,12 @@ def _table(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_COLUMNS).astype({"parent_gap": "Int64"})
 
 
-def _chunk(batches: Iterator[pd.DataFrame], flush_rows: int = 50_000) -> Iterator[pd.DataFrame]:
-    """One range of (entity, started): its first and last entity may go on in other ranges, all others are whole."""
-    entity, parts, first, rows = None, [], True, []
+def _chunk(batches: Iterator[pd.DataFrame], flush_rows: int = 50_000, most: int = CHUNK_ROWS) -> Iterator[pd.DataFrame]:
+    """One range of (entity, started): its first and last entity may go on in other ranges, all others are whole.
+
+    An entity with more than `most` items is cut into several chunks, so a task holds no more of them at once.
+    """
+    entity, parts, first, rows, size = None, [], True, [], 0
 
     def finish(whole: bool) -> list[tuple]:
         columns = parts[0] if len(parts) == 1 else [np.concatenate(c) for c in zip(*parts)]
@@ -100,12 +105,16 @@ def _chunk(batches: Iterator[pd.DataFrame], flush_rows: int = 50_000) -> Iterato
         for a, b in zip(cuts, cuts[1:]):
             if entity is not None and names[a] != entity:
                 rows += finish(whole=not first)
-                parts, first = [], False
+                parts, first, size = [], False, 0
                 if len(rows) >= flush_rows:
                     yield _table(rows)
                     rows = []
             entity = names[a]
+            if size >= most:
+                rows += finish(whole=False)
+                parts, first, size = [], True, 0  # what is left of the entity isn't whole either
             parts.append([c[a:b] for c in columns])
+            size += b - a
     if entity is not None:
         rows += finish(whole=False)
     if rows:
