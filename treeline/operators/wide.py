@@ -1,15 +1,17 @@
 """Entity-attribute-value rows into one typed row per entity, by characteristic sets.
 
-An entity's characteristic set is the exact set of attributes it has. Entities that share a set form a dense table with just
-those columns; the tables are then unioned by name, absent columns becoming NULL. Where sets are shared by many entities
-this stores and reads no NULLs. Where most sets are unique (each file with its own choice of 25 metrics) one table a set
-would mean as many plans as entities, so the sets beyond the `max_tables` largest are merged into one covering set; no row
-and no cell is lost by that, only the density of that last table.
+An entity's characteristic set is the exact set of attributes it has; entities that share a set form a dense table with just
+those columns, and the tables are unioned by name, absent columns becoming NULL. Where nearly every entity has a set of its
+own (each file with its own choice of 25 metrics) one table a set would mean as many plans as entities. So the sets are
+merged into at most `max_tables` groups: a tree parts them by the presence of the attribute that spares the most NULLs, and a
+group's table has the columns of its own sets only. All rows pass through the table of their group; a set that stands alone
+in its group keeps its exact table. The tree is learned from the counts of all sets, and the rows are written once, by group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,19 +52,72 @@ def latest_cells(cells: DataFrame) -> DataFrame:
 
 
 def characteristic_sets(latest: DataFrame) -> DataFrame:
-    """One row per entity: its attribute set `sig` (sorted names, joined) and one map per kind."""
+    """One row per entity: its attribute set `sig` (sorted names) and one map per kind."""
 
     def typed(kind: str, value: str) -> Column:
         return F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("attribute", value)))).alias(f"{value}s")
 
     return latest.groupBy("entity").agg(
-        F.array_join(F.array_sort(F.collect_list("attribute")), "\u001f").alias("sig"),
+        F.array_sort(F.collect_list("attribute")).alias("sig"),
         typed(QUANTITY, "q"),
         typed(MEASURE, "m"),
         typed(CLASSIFICATION, "c"),
     )
 
 
+@dataclass
+class Group:
+    """A group of merged sets: how many entities it has, its attributes with their entities, and how it is parted further."""
+
+    n: int = 0
+    columns: dict[str, int] = field(default_factory=dict)
+    split: str | None = None
+    has: Group | None = None
+    lacks: Group | None = None
+    number: int = -1
+
+    def best_split(self) -> tuple[int, str]:
+        """(NULLs spared at least, attribute) of parting the group; (0, "") if all its entities have all its columns."""
+        return max(((self.n - c, a) for a, c in self.columns.items() if c < self.n), default=(0, ""))
+
+    def leaves(self) -> list[Group]:
+        return [self] if self.split is None else self.has.leaves() + self.lacks.leaves()
+
+    def place(self, sig: Column) -> Column:
+        """The number of the group of a set."""
+        if self.split is None:
+            return F.lit(self.number)
+        return F.when(F.array_contains(sig, self.split), self.has.place(sig)).otherwise(self.lacks.place(sig))
+
+
+def merged_sets(known: DataFrame, max_tables: int, max_columns: int) -> Group:
+    """The tree of at most max_tables groups of sets. A level of it is one aggregate of the sets' counts."""
+    sets = materialise(known.groupBy("sig").count())
+    root = Group(number=0)
+    fresh = [root]
+    while fresh:
+        numbers = {g.number for g in fresh}
+        placed = sets.select("sig", "count", root.place(F.col("sig")).alias("g")).where(F.col("g").isin(*numbers))
+        per = placed.select("g", "count", F.explode(F.concat(F.array(F.lit(None).cast("string")), "sig")).alias("a")).groupBy("g", "a").agg(F.sum("count").alias("n"))
+        rows = per.limit(max_tables * (max_columns + 1) + 1).collect()
+        if len({r.a for r in rows}) > max_columns + 1:
+            raise ValueError(f"more than {max_columns} attributes")
+        for r in rows:
+            group = next(g for g in fresh if g.number == r.g)
+            if r.a is None:
+                group.n = r.n
+            else:
+                group.columns[r.a] = r.n
+        leaves = root.leaves()
+        gains = sorted(((*g.best_split(), g) for g in leaves if g.best_split()[0]), key=lambda x: (-x[0], x[1], x[2].number))
+        fresh = []
+        for _, attribute, group in gains[: max_tables - len(leaves)]:
+            group.split = attribute
+            group.has, group.lacks = Group(number=group.number), Group(number=len(leaves) + len(fresh) // 2)
+            fresh += [group.has, group.lacks]
+    return root
+
+
 def wide_table(cells: DataFrame, entity: str = "entity", max_tables: int = 8, max_columns: int = 2000) -> tuple[DataFrame, dict[str, str]]:
     """(one row per entity with a typed column per attribute, attribute -> kind).
 
@@ -74,13 +129,9 @@ def wide_table(cells: DataFrame, entity: str = "entity", max_tables: int = 8, ma
     kinds = _kinds(known, max_columns)
     if entity in kinds:
         raise ValueError(f"an attribute is named as the entity column: {entity}")
-    rows = known.withColumnRenamed("entity", entity)
-    top = [r.sig for r in known.groupBy("sig").count().where("count > 1").orderBy(F.desc("count"), "sig").limit(max_tables).collect()]
-    tables = []
-    for sig in top:
-        tables.append(_dense(rows.where(F.col("sig") == sig), entity, sig.split("\u001f"), kinds))
-    rest = rows.where(~F.col("sig").isin(*top)) if top else rows
-    tables.append(_dense(rest, entity, sorted(kinds), kinds))
+    tree = merged_sets(known, max_tables, max_columns)
+    rows = materialise(known.withColumn("group", tree.place(F.col("sig"))), by=("group",)).withColumnRenamed("entity", entity)
+    tables = [_dense(rows.where(F.col("group") == g.number), entity, sorted(g.columns), kinds) for g in tree.leaves()]
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)

@@ -44,15 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local_folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table into the shared folder and read it back.
+def materialise(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as a table into the shared folder, in one folder for each value of the columns `by`, and read it back.
 
     The lineage ends at the written files, so a lost executor costs a re-read and never a recomputation, and everything
     that is read more than once (or whose ids must not change between two readings) is computed once.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/treeline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
