@@ -75,6 +75,28 @@ def test_wide_dense_tables_agree(spark):
     assert len(got) == 120 and w.count() == 60
 
 
+def test_sets_are_merged_into_few_groups(spark):
+    r = random.Random(4)
+    names = [f"m{k:02d}x" for k in range(14)]
+    rows = [(f"p{i}", m, f"{m}{i}", 1) for i in range(400) for m in r.sample(names, r.randrange(1, 9))] + [(f"q{i}", "file-size", "7", 1) for i in range(50)]
+    df = wide.metric_cells(spark.createDataFrame([(i, *x[:2], None, x[2], None, "x", "y") for i, x in enumerate(rows)], VALUES))
+    known = wide.characteristic_sets(wide.latest_cells(df))
+    tree = wide.merged_sets(known, 9, 100)
+    leaves = tree.leaves()
+    assert len(leaves) == 9 and sorted(g.number for g in leaves) == list(range(9)) and sum(g.n for g in leaves) == 450
+    placed = known.select("sig", tree.place(F.col("sig")).alias("g")).collect()
+    for g in leaves:
+        sets = [x.sig for x in placed if x.g == g.number]
+        assert len(sets) == g.n and set(g.columns) == set().union(*sets)
+    one = wide.merged_sets(known, 1, 100)
+    nulls = [sum(g.n * len(g.columns) - sum(g.columns.values()) for g in t.leaves()) for t in (one, tree)]
+    assert nulls[1] < nulls[0]
+    for most in (1, 3, 40):
+        w, kinds = wide.wide_table(df, "node_path", max_tables=most)
+        got = {(x.node_path, x.metric): x.cell_value for x in wide.melt_cells(w, "node_path", kinds).collect()}
+        assert got == {(p, m): v for p, m, v, _ in rows} and w.count() == 450
+
+
 @pytest.mark.parametrize("text,whole,dec", [("1,234", 1234, 1.234), ("+20", 20, 20.0), ("12.0", 12, 12.0), ("1.2.3", None, None), ("45..48", None, None), ("1e2", 100, 100.0), ("1,23,456", None, None), ("NaN", None, None), ("9" * 30, None, 1e30), (" 5\t", 5, 5.0), ("0.971", None, 0.971), ("inf", None, None), ("12abc", None, None)])
 def test_numbers(spark, text, whole, dec):
     r = spark.createDataFrame([(text,)], "t string").select(V.whole_number(F.col("t")).alias("w"), V.decimal_number(F.col("t")).alias("d")).first()
@@ -90,9 +112,14 @@ def test_distinct_counts_heavy(spark):
             expected[k] |= {v} - {None}
     df = spark.createDataFrame(rows, "key string, value string, n_distinct bigint")
     assert "hot" in {r.key for r in skew.heavy_keys(df.where("key is not null"), ["key"]).collect()}
-    got = {r.key: r.n_distinct for r in skew.distinct_counts(df, ["key"], "value").collect()}
-    assert got == {k: len(v) for k, v in expected.items()}
-    assert skew.distinct_counts(df.limit(0), ["key"], "value").count() == 0
+    others = defaultdict(set)
+    for k, _, n in rows:
+        others[k].add(n)
+    got = {r.key: (r.n_value, r.n_n_distinct) for r in skew.distinct_counts(df, ["key"], ["value", "n_distinct"]).collect()}
+    assert got == {k: (len(v), len(others[k])) for k, v in expected.items()}
+    assert skew.distinct_counts(df.limit(0), ["key"], ["value"]).count() == 0
+    with pytest.raises(ValueError):
+        skew.heavy_keys(df, ["key"], 0.00001)
 
 
 def brute_sessions(times, threshold):
@@ -185,11 +212,11 @@ def test_nested_tables_and_edges(spark):
     rows, columns = nested.shred(spark.createDataFrame(data, "id string, payload string, doc string"), "id", "payload", nested.EXPORT_SHAPE)
     assert set(columns["directories"]) == {"name", "path", "owner.id", "owner.team.x"}
     dirs = nested.table_of(rows, columns, "directories").where("doc = '1'").orderBy("row_no").collect()
-    assert [(r.label_path, r.parent_path, r["owner.id"]) for r in dirs] == [("r", "", "7"), ("r/d", "r", None)]
+    assert [(r.label_path, r.parent_path, r["owner.id"]) for r in dirs] == [("r", "", 7), ("r/d", "r", None)]
     file = nested.table_of(rows, columns, "files").first()
     assert (file.label_path, file.parent_element) == ("r/d/f", "directories") and file.parent_no == dirs[1].row_no
     q = nested.table_of(rows, columns, "quantities").first()
-    assert (q.key, q.value, q.parent_no) == ("a", "1", dirs[0].row_no)
+    assert (q.key, q.value, q.parent_no) == ("a", 1, dirs[0].row_no)
     assert rows.where("doc = '7'").count() == 401
     assert {r.doc for r in rows.select("doc").distinct().collect()} == {"1", "7"}
     empty, cols = nested.shred(spark.createDataFrame([], "id string, payload string"), "id", "payload", nested.EXPORT_SHAPE)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EDGE = "parent string, child string, form string"
+ELEMENTS = ("one", "many", "map")
 ROW = "doc string, element string, row_no bigint, parent_element string, parent_no bigint, ordinal bigint, label_path string, parent_path string, depth int, attrs map<string,string>"
 
 
@@ -58,6 +58,8 @@ def _edges(top: dict, shape: Shape) -> set[tuple[str, str, str]]:
             child = shape.type_of(key)
             if key in shape.maps:
                 found.add((kind, child, "map"))
+                if isinstance(value, dict):
+                    found.update((child, "value", _scalar(v)) for v in value.values())
             elif isinstance(value, list):
                 inner = [x for x in value if isinstance(x, dict)]
                 found.add((kind, child, "many"))
@@ -68,30 +70,44 @@ def _edges(top: dict, shape: Shape) -> set[tuple[str, str, str]]:
             elif key in shape.lists:
                 found.add((kind, child, "many"))
             else:
-                found.add((kind, child, "scalar"))
+                found.add((kind, child, _scalar(value)))
     return found
 
 
-def schema_graph(docs: DataFrame, payload: str, shape: Shape, max_edges: int = 10_000) -> list[tuple[str, str, str]]:
-    """The distinct (parent type, key, form) over all documents; bounded by the schema, not by the data."""
+def _scalar(value) -> str:
+    return "null" if value is None else "boolean" if value is True or value is False else {int: "bigint", float: "double"}.get(type(value), "string")
+
+
+def with_edges(docs: DataFrame, payload: str, shape: Shape) -> DataFrame:
+    """docs with the schema edges of each payload, as JSON texts; NULL if it can't be read or has no root."""
+    texts: dict[tuple[str, str, str], str] = {}
+
+    @F.pandas_udf("array<string>")
+    def edges(payloads: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[str] | None:
+            if (top := parse(text, shape.root)) is None:
+                return None
+            return [texts.setdefault(e, json.dumps(e)) for e in _edges(top, shape)]
+
+        return payloads.map(of)
+
+    return docs.withColumn("edges", edges(payload))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[str, str, str]] = set()
-        for batch in batches:
-            for text in batch["payload"]:
-                if (top := parse(text, shape.root)) is not None:
-                    seen |= _edges(top, shape)
-        yield pd.DataFrame(sorted(seen), columns=["parent", "child", "form"])
 
-    rows = docs.select(F.col(payload).alias("payload")).mapInPandas(scan, EDGE).distinct().limit(max_edges + 1).collect()
+def schema_graph(docs: DataFrame, max_edges: int = 10_000) -> list[tuple[str, str, str]]:
+    """The distinct (parent type, key, form) over all documents with edges; bounded by the schema, not by the data.
+
+    form: one, many or map for an element, else the type of a scalar.
+    """
+    rows = docs.select(F.explode("edges").alias("edge")).distinct().limit(max_edges + 1).collect()
     if len(rows) > max_edges:
         raise ValueError(f"more than {max_edges} schema edges: are all maps declared?")
-    return sorted((r.parent, r.child, r.form) for r in rows)
+    return sorted(tuple(json.loads(r.edge)) for r in rows)
 
 
 def own_tables(edges: Sequence[tuple[str, str, str]]) -> set[str]:
     """The element types that get a table: the root, and all that are repeated, shared or recursive."""
-    elements = [(p, c, f) for p, c, f in edges if f != "scalar"]
+    elements = [(p, c, f) for p, c, f in edges if f in ELEMENTS]
     parents: dict[str, set[str]] = {}
     for p, c, _ in elements:
         parents.setdefault(c, set()).add(p)
@@ -130,7 +146,7 @@ def _label(node: dict, shape: Shape) -> str:
     return ""
 
 
-def _rows(doc: str, top: dict, shape: Shape, tables: set[str]) -> Iterator[tuple]:
+def _rows(doc: str, top: dict, shape: Shape, tables: set[str], wanted: frozenset[str] | None) -> Iterator[tuple]:
     """Depth-first; singleton descendants without a table are folded into their ancestor's attributes."""
     count = 0
     todo = [(shape.type_of(shape.root), top, None, None, 0, None, 0)]
@@ -147,7 +163,9 @@ def _rows(doc: str, top: dict, shape: Shape, tables: set[str]) -> Iterator[tuple
             for key, value in part.items():
                 child = shape.type_of(key)
                 if key in shape.maps:
-                    if isinstance(value, dict):
+                    if isinstance(value, dict) and wanted is not None and child not in wanted:
+                        count += len(value)
+                    elif isinstance(value, dict):
                         for k, (name, v) in enumerate(value.items()):
                             yield (doc, child, count, element, no, k, f"{path}#{name}", path, depth + 1, {"key": name, "value": _text(v)})
                             count += 1
@@ -162,35 +180,47 @@ def _rows(doc: str, top: dict, shape: Shape, tables: set[str]) -> Iterator[tuple
                         inner.append((f"{prefix}{key}.", value))
                 elif key not in shape.lists:
                     attrs[prefix + key] = _text(value)
-        yield (doc, element, no, up, up_no, ordinal, path, above or "", depth, attrs)
+        if wanted is None or element in wanted:
+            yield (doc, element, no, up, up_no, ordinal, path, above or "", depth, attrs)
         todo += reversed(below)
 
 
-def shred(docs: DataFrame, doc_id: str, payload: str, shape: Shape, batch_rows: int = 20_000) -> tuple[DataFrame, dict[str, list[str]]]:
-    """(all rows of all tables, table -> its columns).
-
-    A row: doc, element (its table), row_no, parent_element, parent_no, ordinal among its siblings, label_path (the labels
-    from the root down, joined by /), parent_path, depth, attrs. Documents that can't be read or have no root give no row;
-    NULL elements of lists are left out; one object in place of a list counts as a list of one; documents are independent,
-    so there is no shuffle and a document is the largest unit of work. `table_of` cuts out one table.
-    """
-    edges = schema_graph(docs, payload, shape)
-    tables = own_tables(edges)
-    columns: dict[str, list[str]] = {t: [] for t in sorted(tables)}
+def column_types(edges: Sequence[tuple[str, str, str]], tables: set[str]) -> dict[str, dict[str, str]]:
+    """table -> its columns with their types: whole numbers bigint, with fractions among them double, mixed kinds string."""
+    seen: dict[str, dict[str, set[str]]] = {t: {} for t in sorted(tables)}
 
     def inline(table: str, element: str, prefix: str) -> None:
         for p, c, f in edges:
-            if p == element:
-                if f == "scalar" and c not in tables:
-                    columns[table].append(prefix + c)
-                elif f == "one" and c not in tables:
+            if p == element and c not in tables:
+                if f == "one":
                     inline(table, c, f"{prefix}{c}.")
+                elif f not in ELEMENTS:
+                    seen[table].setdefault(prefix + c, set()).add(f)
 
-    for t in tables:
+    for t in seen:
         if any(c == t and f == "map" for _, c, f in edges):
-            columns[t] = ["key", "value"]
-        else:
-            inline(t, t, "")
+            seen[t] = {"key": {"string"}, "value": set()}
+        inline(t, t, "")
+
+    def kind(types: set[str]) -> str:
+        types = types - {"null"}
+        return types.pop() if len(types) == 1 else "double" if types == {"bigint", "double"} else "string"
+
+    return {t: {c: kind(types) for c, types in columns.items()} for t, columns in seen.items()}
+
+
+def shred(docs: DataFrame, doc_id: str, payload: str, shape: Shape, elements: Sequence[str] | None = None, batch_rows: int = 20_000) -> tuple[DataFrame, dict[str, dict[str, str]]]:
+    """(all rows of all tables, table -> its columns and their types).
+
+    A row: doc, element (its table), row_no, parent_element, parent_no, ordinal among its siblings, label_path (the labels
+    from the root down, joined by /), parent_path, depth, attrs. Documents that can't be read or have no root give no row;
+    NULL elements of lists are left out; one object in place of a list counts as a list of one; documents are independent,
+    so there is no shuffle and a document is the largest unit of work. `table_of` cuts out one table. elements: the tables
+    that are wanted, if not all. docs may have a column edges (see with_edges), else the payloads are read once more for it.
+    """
+    wanted = None if elements is None else frozenset(elements)
+    edges = schema_graph(docs if "edges" in docs.columns else with_edges(docs, payload, shape))
+    tables = own_tables(edges)
 
     names = [x.split(" ")[0] for x in ROW.split(", ")]
 
@@ -199,7 +229,7 @@ def shred(docs: DataFrame, doc_id: str, payload: str, shape: Shape, batch_rows:
         for batch in batches:
             for doc, text in zip(batch["doc"], batch["payload"]):
                 if (top := parse(text, shape.root)) is not None:
-                    for row in _rows(doc, top, shape, tables):
+                    for row in _rows(doc, top, shape, tables, wanted):
                         out.append(row)
                         if len(out) >= batch_rows:
                             yield pd.DataFrame(out, columns=names).astype({"parent_no": "Int64"})
@@ -207,26 +237,25 @@ def shred(docs: DataFrame, doc_id: str, payload: str, shape: Shape, batch_rows:
         yield pd.DataFrame(out, columns=names).astype({"parent_no": "Int64"})
 
     rows = docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(payload).alias("payload")).where("doc IS NOT NULL AND payload IS NOT NULL").mapInPandas(walk, ROW)
-    return rows, columns
+    return rows, column_types(edges, tables)
 
 
-def table_of(rows: DataFrame, columns: Mapping[str, list[str]], element: str) -> DataFrame:
-    """One flat table: keys to the row and its parent, then a column for each inlined attribute."""
-    attrs = [F.try_element_at("attrs", F.lit(c)).alias(c) for c in columns[element]]
+def table_of(rows: DataFrame, columns: Mapping[str, Mapping[str, str]], element: str) -> DataFrame:
+    """One flat table: keys to the row and its parent, then a typed column for each inlined attribute."""
+    attrs = [F.try_element_at("attrs", F.lit(c)).try_cast(t).alias(c) for c, t in columns[element].items()]
     keys = ["doc", "row_no", "parent_element", "parent_no", "ordinal", "label_path", "parent_path", "depth"]
     return rows.where(F.col("element") == element).select(*keys, *attrs)
 
 
-def latest_readable(docs: DataFrame, doc_id: str, payload: str, at: str, root: str) -> DataFrame:
-    """The latest sent payload of each document among those that can be read and have a root."""
-
-    @F.pandas_udf("boolean")
-    def readable(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: parse(t, root) is not None).astype(bool)
+def latest_readable(docs: DataFrame, doc_id: str, payload: str, at: str, shape: Shape) -> DataFrame:
+    """(doc_id, payload, edges): the latest sent payload of each document among those that can be read and have a root.
 
-    good = docs.select(F.col(doc_id).alias("doc_id"), F.col(payload).alias("payload"), F.col(at).alias("at")).where("payload IS NOT NULL AND doc_id IS NOT NULL").where(readable("payload"))
-    latest = good.groupBy("doc_id").agg(F.max_by("payload", F.struct("at", F.xxhash64("payload"))).alias("payload"))
-    return latest.select(F.col("doc_id").alias(doc_id), "payload")
+    Of several sent at one time the greatest text counts. A payload is parsed once, for its edges, which also tell whether it can be read.
+    """
+    good = with_edges(docs.select(F.col(doc_id).alias("doc_id"), F.col(payload).alias("payload"), F.col(at).alias("at")).where("payload IS NOT NULL AND doc_id IS NOT NULL"), "payload", shape)
+    best = F.max_by(F.struct("payload", "edges"), F.struct("at", "payload")).alias("best")
+    latest = good.where("edges IS NOT NULL").groupBy("doc_id").agg(best)
+    return latest.select(F.col("doc_id").alias(doc_id), F.col("best.payload").alias(payload), F.col("best.edges").alias("edges"))
 
 
 EXPORT_SHAPE = Shape(root="root", same_type={"root": "directories"}, maps=("quantities", "measures", "classifications"), lists=("directories", "files"))
