@@ -45,12 +45,16 @@ def distinct_counts(rows: DataFrame, keys: Sequence[str], values: Sequence[str],
     """
     keys, values = list(keys), list(values)
     rows = materialise(rows.select(*keys, *values).where(" AND ".join(f"`{c}` IS NOT NULL" for c in keys)))
-    heavy = F.broadcast(heavy_keys(rows, keys, share))  # at most ceil(2/share) rows
-    # repeated (key, value) pairs meet in the task that reads them, before the shuffle on both
+    heavy = F.broadcast(materialise(heavy_keys(rows, keys, share)))  # at most ceil(2/share) rows
     as_bytes = {v: F.col(v) if rows.schema[v].dataType.simpleString() == "binary" else F.col(v).cast("string").cast("binary") for v in values}
     which = F.array(*(F.struct(F.lit(i).alias("i"), as_bytes[v].alias("v")) for i, v in enumerate(values)))
-    pairs = rows.join(heavy, keys, "left_semi").select(*keys, F.explode(which).alias("_f")).select(*keys, "_f.i", "_f.v").distinct()
-    of_heavy = pairs.groupBy(*keys).agg(*(F.count(F.when(F.col("i") == i, F.col("v"))).alias(f"n_{v}") for i, v in enumerate(values)))
-    light = rows.join(heavy, keys, "left_anti").repartition(*keys)
-    of_light = light.groupBy(*keys).agg(*(F.count_distinct(v).alias(f"n_{v}") for v in values))
+
+    def counted(part: DataFrame) -> DataFrame:
+        pairs = part.select(*keys, F.explode(which).alias("_f")).select(*keys, "_f.i", "_f.v").distinct()
+        return pairs.groupBy(*keys).agg(*(F.count(F.when(F.col("i") == i, F.col("v"))).alias(f"n_{v}") for i, v in enumerate(values)))
+
+    # a heavy key's pairs are shuffled on (key, value), repeats having met in the task that reads them; a light key's rows
+    # are shuffled once on the key, under which all else stays
+    of_heavy = counted(rows.join(heavy, keys, "left_semi"))
+    of_light = counted(rows.join(heavy, keys, "left_anti").repartition(*keys))
     return of_heavy.unionByName(of_light)
