@@ -70,6 +70,11 @@ def test_history(spark):
     assert (h.file_age, h.file_freshness, h.author_count, h.commit_count, h.total_lines_added, h.total_lines_removed) == (70, 9, 2, 2, 3, 2)
     assert h.commit_density == pytest.approx(2 / (61 / 30.44))
     assert {(r.commit_hash, r.file_path) for r in history.changed_against_all_parents(df).collect()} == {("c1", "f"), ("c2", "f"), ("m", "g")}
+    more = [(6, "r", "f", "m2", "A", "a@x", BASE + timedelta(days=65), 2, 1, False, 7, 7), (7, "r", "g", "m3", "A", "a@x", BASE, 2, 0, False, 4, 1), (8, "r", "g", "m3", "A", "a@x", BASE, 2, 1, False, 9, 9)]
+    own = history.file_changes(spark.createDataFrame(rows + more, df.schema))
+    assert {(r.commit_hash, r.file_path, r.added, r.removed) for r in own.collect()} == {("c1", "f", 10, 0), ("c2", "f", 3, 2), ("m", "g", 1, 1), ("m3", "g", 4, 1)}
+    h = {r.file_path: r for r in history.file_history(own, F.lit(BASE + timedelta(days=70))).collect()}
+    assert (h["f"].file_freshness, h["f"].commit_count, h["g"].commit_count, h["g"].total_lines_added) == (9, 2, 2, 5)
     with pytest.raises(ValueError):
         history.require_history(df.limit(0))
 

@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.operators import tree
+from treeline.session import materialise
 
 # The two marks that stand in for an author.
 UNMAINTAINED = "«unmaintained»"
 OTHER = "«other»"
+DAY_US = 86_400_000_000
 
 
 @dataclass(frozen=True)
@@ -37,20 +39,14 @@ def contributions(facts: DataFrame, node: Column) -> DataFrame:
     return facts.where("author_email IS NOT NULL AND touched_at IS NOT NULL").select(node.alias("node"), F.col("author_email").alias("email"), at.alias("at_us"), w.alias("w"))
 
 
-def directory_contributions(of_files: DataFrame) -> DataFrame:
-    """Contributions of every directory: those of all files below it, summed per author and moment before they are repeated."""
-    per = of_files.withColumn("dir", tree.parent_of(F.col("node"))).where("dir IS NOT NULL").groupBy("dir", "email", "at_us").agg(F.sum("w").alias("w"))
-    up = tree.to_ancestors(per).groupBy("node_path", "email", "at_us").agg(F.sum("w").alias("w"))
-    return up.withColumnRenamed("node_path", "node")
+def _cutoffs(spans: DataFrame, s: Settings) -> DataFrame:
+    """(node, cutoff): the end of the early part of each node's life; spans: node, oldest, newest."""
+    return spans.select("node", (F.col("oldest") + ((F.col("newest") - F.col("oldest")) * s.early_fraction).cast("bigint")).alias("cutoff"))
 
 
-def author_records(contrib: DataFrame, head_us: int, s: Settings = Settings()) -> DataFrame:
-    """(node, email, weight, first, early and recent weight and first, overlap): one row per node and author."""
-    day = 86_400_000_000
-    span = contrib.groupBy("node").agg(F.min("at_us").alias("oldest"), F.max("at_us").alias("newest"))
-    cutoff = (F.col("oldest") + ((F.col("newest") - F.col("oldest")) * s.early_fraction).cast("bigint")).alias("cutoff")
-    recent_from = head_us - s.recent_days * day
-    rows = contrib.join(span.select("node", cutoff), "node")
+def _records(rows: DataFrame, head_us: int, s: Settings) -> DataFrame:
+    """Sums per node and author of contributions that know their node's cutoff."""
+    recent_from = head_us - s.recent_days * DAY_US
     early, recent = F.col("at_us") <= F.col("cutoff"), F.col("at_us") >= recent_from
     return rows.groupBy("node", "email").agg(
         F.sum("w").alias("weight"),
@@ -64,6 +60,28 @@ def author_records(contrib: DataFrame, head_us: int, s: Settings = Settings()) -
     )
 
 
+def author_records(contrib: DataFrame, head_us: int, s: Settings = Settings()) -> DataFrame:
+    """(node, email, weight, first, early and recent weight and first, overlap): one row per node and author."""
+    span = contrib.groupBy("node").agg(F.min("at_us").alias("oldest"), F.max("at_us").alias("newest"))
+    return _records(contrib.join(_cutoffs(span, s), "node"), head_us, s)
+
+
+def directory_records(of_files: DataFrame, head_us: int, s: Settings = Settings()) -> DataFrame:
+    """author_records of every directory, from the contributions to all files below it.
+
+    Contributions are summed per directory, author and moment first. A directory's rows then meet the list of its ancestors
+    with their cutoffs (as long as the path is deep) in a join on the directory, and only after that are they repeated. So no
+    join or shuffle has the root as its key but that of sums which each task has made per node and author.
+    """
+    per = of_files.withColumn("dir", tree.parent_of(F.col("node"))).where("dir IS NOT NULL").groupBy("dir", "email", "at_us").agg(F.sum("w").alias("w"))
+    per = materialise(per)
+    spans = per.groupBy("dir").agg(F.min("at_us").alias("oldest"), F.max("at_us").alias("newest"))
+    of_nodes = tree.to_ancestors(spans).groupBy(F.col("node_path").alias("node")).agg(F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+    above = tree.to_ancestors(spans.select("dir", F.col("dir").alias("below"))).withColumnRenamed("node_path", "node")
+    lists = above.join(_cutoffs(of_nodes, s), "node").groupBy(F.col("below").alias("dir")).agg(F.collect_list(F.struct("node", "cutoff")).alias("nodes"))
+    return _records(per.join(lists, "dir").select("email", "at_us", "w", F.inline("nodes")), head_us, s)
+
+
 def ranked(records: DataFrame) -> DataFrame:
     """records with share and rank: weight falling, then earlier first contribution, then e-mail."""
     node = Window.partitionBy("node")
@@ -73,8 +91,7 @@ def ranked(records: DataFrame) -> DataFrame:
 
 def metrics(records: DataFrame, last_active: DataFrame, head_us: int, s: Settings = Settings()) -> DataFrame:
     """(node, the nine metrics). last_active: email, last_us over all commits; an author missing there counts as inactive."""
-    day = 86_400_000_000
-    active_from = head_us - s.activity_days * day
+    active_from = head_us - s.activity_days * DAY_US
     node = Window.partitionBy("node")
     order = node.orderBy(F.desc("weight"), "first", "email")
     total = F.sum("weight").over(node)

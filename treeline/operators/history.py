@@ -34,14 +34,34 @@ def changed_against_all_parents(facts: DataFrame) -> DataFrame:
     return per.where(F.col("seen") >= F.greatest(F.coalesce("n_parents", F.lit(1)), F.lit(1))).select("repo_slug", "commit_hash", "file_path")
 
 
+def file_changes(touches: DataFrame) -> DataFrame:
+    """One row per (repo_slug, commit_hash, file_path) that the commit itself changed: author, moment, creation, lines.
+
+    touches has a row for each parent that the path differs from; repeats of them do no harm. A merge that agrees with one
+    of its parents only brought the change along and is left out. Lines are those against the first parent.
+    """
+    first = F.col("parent_idx") == 0
+    per = touches.where("commit_hash IS NOT NULL AND file_path IS NOT NULL").groupBy("repo_slug", "commit_hash", "file_path")
+    rows = per.agg(
+        F.size(F.collect_set("parent_idx")).alias("seen"),  # no more than a commit has parents
+        F.greatest(F.coalesce(F.max("n_parents"), F.lit(1)), F.lit(1)).alias("parents"),
+        F.max("author_email").alias("author_email"),
+        F.max("touched_at").alias("touched_at"),
+        F.max("is_creation").alias("is_creation"),
+        F.max(F.when(first, F.col("added"))).alias("added"),
+        F.max(F.when(first, F.col("removed"))).alias("removed"),
+    )
+    return rows.where("seen >= parents").drop("seen", "parents")
+
+
 def _whole_days(later: Column, earlier: Column) -> Column:
     return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / (24 * MICROS_PER_HOUR)).cast("bigint")
 
 
 def file_history(facts: DataFrame, as_of: Column) -> DataFrame:
-    """The seven history metrics per (repo_slug, file_path) in one aggregate; files without dated touches have none.
+    """The seven history metrics per (repo_slug, file_path) in one aggregate; files without dated changes have none.
 
-    as_of stands for the moment of asking. Lines of creations count for nothing. Months are floored at 1 in the density.
+    facts: see file_changes. as_of stands for the moment of asking. Lines of creations count for nothing. Months are floored at 1 in the density.
     """
     at = F.col("touched_at").cast("timestamp")
     edits = F.when(~F.coalesce("is_creation", F.lit(False)), F.lit(1))

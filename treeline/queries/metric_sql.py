@@ -20,6 +20,10 @@ FILES = f"""{N}, f AS (SELECT n.*, n.parent_path AS dir, strlen(content) AS file
     CASE WHEN NOT coalesce(is_binary, false) THEN {LINES} END AS file_lines, {KIND} AS file_type
     FROM n LEFT JOIN file_contents USING (node_id) WHERE node_kind = 'file')"""
 T = "t AS (SELECT DISTINCT * FROM touches)"
+# what a commit changed against all its parents, with the lines against the first
+CH = f"""{T}, ch AS (SELECT repo_slug, commit_hash, file_path, max(author_email) AS author_email, max(touched_at) AS touched_at, bool_or(is_creation) AS is_creation,
+    max(added) FILTER (WHERE parent_idx = 0) AS added, max(removed) FILTER (WHERE parent_idx = 0) AS removed
+    FROM t GROUP BY 1, 2, 3 HAVING count(DISTINCT parent_idx) >= greatest(coalesce(max(n_parents), 1), 1))"""
 
 
 def up(path: str) -> str:
@@ -54,8 +58,8 @@ RULES = [globs.parse_rule(r) for r in ("!**/vendor", "!*_test.go", "*.go", "!*.p
 CLASSES = (("tests", ("*_test.*", "tests/**")), ("docs", ("docs/**", "*.md")), ("go", ("*.go",)), ("web", ("*.{js,ts,css}",)), ("rest", ("**",)))
 CLASS_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f"regexp_matches(p, '{globs.to_regex(x)}')" for x in ps)} THEN '{name}'" for name, ps in CLASSES) + " END"
 
-CONTRIB = f"""{T}, c AS (SELECT repo_slug || '/' || file_path AS node, author_email AS email, epoch_us(touched_at) AS at_us, coalesce(added, 0) + coalesce(removed, 0) AS w
-    FROM t WHERE author_email IS NOT NULL AND touched_at IS NOT NULL)"""
+CONTRIB = f"""{CH}, c AS (SELECT repo_slug || '/' || file_path AS node, author_email AS email, epoch_us(touched_at) AS at_us, coalesce(added, 0) + coalesce(removed, 0) AS w
+    FROM ch WHERE author_email IS NOT NULL AND touched_at IS NOT NULL)"""
 DIR_CONTRIB = CONTRIB.replace("c AS (", "c0 AS (") + f", c AS (SELECT {up('regexp_extract(node, chr(94) || chr(40) || chr(46) || chr(42) || chr(41) || chr(47), 1)')} AS node, email, at_us, w FROM c0)"
 RECORDS = f"""span AS (SELECT node, min(at_us) AS lo, max(at_us) AS hi FROM c GROUP BY 1),
     cut AS (SELECT node, lo + CAST(trunc((hi - lo) * 0.25) AS BIGINT) AS cutoff FROM span),
@@ -111,7 +115,7 @@ def _colour(name: str) -> str:
 
 
 BUCKET = "len(list_filter(bs, lambda b: v >= b)) AS bucket"
-SCATTER = f"""{FILES}, {T}, h AS (SELECT repo_slug || '/' || file_path AS node_path, count(*) AS size FROM t WHERE touched_at IS NOT NULL GROUP BY 1),
+SCATTER = f"""{FILES}, {CH}, h AS (SELECT repo_slug || '/' || file_path AS node_path, count(*) AS size FROM ch WHERE touched_at IS NOT NULL GROUP BY 1),
     r AS (SELECT node_id, node_name, file_size AS x, file_lines AS y, size, file_type AS category FROM f LEFT JOIN h USING (node_path)),
     dd AS (SELECT * FROM r WHERE x IS NOT NULL AND y IS NOT NULL AND size IS NOT NULL),
     e AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(size) AS ls, max(size) AS hs, count(*) AS n FROM dd)"""
@@ -165,11 +169,17 @@ def _fused() -> str:
     parts = verbs("u", "file_size", "file-size") + verbs("u", "file_lines", "file-lines") + verbs("w", "added", "lines-added") + verbs("w", "removed", "lines-removed") + verbs("w", "added + removed", "lines-changed")
     mode = "SELECT node_path, 'file-type.mode', 'classification', v FROM c QUALIFY row_number() OVER (PARTITION BY node_path ORDER BY n DESC, v) = 1"
     distinct = "SELECT node_path, 'file-type.distinct', 'quantity', count(*)::VARCHAR FROM c GROUP BY 1"
-    return f"{texts('file_type')}, {T}, w AS (SELECT {up(PARENT)} AS node_path, added, removed FROM t) " + " UNION ALL ".join([*parts, f"({mode})", distinct])
+    return f"{texts('file_type')}, {CH}, w AS (SELECT {up(PARENT)} AS node_path, added, removed FROM ch) " + " UNION ALL ".join([*parts, f"({mode})", distinct])
 
 
 PARENT = "regexp_extract(repo_slug || '/' || file_path, '^(.*)/', 1)"
 
+HISTORY = f"""{CH}, p AS (SELECT repo_slug, file_path, epoch_us(min(touched_at)) AS lo, epoch_us(max(touched_at)) AS hi, count(DISTINCT author_email) AS author_count, count(*) AS commit_count,
+        coalesce(sum(added) FILTER (WHERE NOT coalesce(is_creation, false)), 0)::BIGINT AS total_lines_added, coalesce(sum(removed) FILTER (WHERE NOT coalesce(is_creation, false)), 0)::BIGINT AS total_lines_removed
+        FROM ch WHERE touched_at IS NOT NULL GROUP BY 1, 2),
+    hist AS (SELECT *, (epoch_us(TIMESTAMP '{AS_OF}') - lo) // 86400000000 AS file_age, (epoch_us(TIMESTAMP '{AS_OF}') - hi) // 86400000000 AS file_freshness,
+        round(commit_count / greatest(1.0, (hi - lo) / (3600000000.0 * 24 * 30.44)), 6) AS commit_density FROM p)"""
+
 ORACLES = {
     "r01_rollup_sum": file_rollup("sum(file_size)::BIGINT AS file_size_sum, sum(file_lines)::BIGINT AS file_lines_sum", "count(file_size) + count(file_lines) > 0"),
     "r02_rollup_min": file_rollup("min(file_size) AS file_size_min", "count(file_size) > 0"),
@@ -194,7 +204,7 @@ ORACLES = {
     "r14_closure": f"""WITH {N}, u AS (SELECT node_path AS descendant_path, {up("node_path")} AS ancestor_path FROM n)
         SELECT ancestor_path, descendant_path, (len(string_split(descendant_path, '/')) - len(string_split(ancestor_path, '/')))::INTEGER AS distance FROM u""",
     "r15_size_with_floor": f"WITH {FILES}, u AS (SELECT {up('dir')} AS node_path, file_size FROM f) SELECT node_path, sum(CASE WHEN file_size IS NULL OR file_size <= 0 THEN 1.0 ELSE file_size END)::DOUBLE AS total FROM u GROUP BY 1",
-    "r16_commit_rollup": f"""WITH {T}, u AS (SELECT {up(PARENT)} AS node_path, added, removed FROM t)
+    "r16_commit_rollup": f"""WITH {CH}, u AS (SELECT {up(PARENT)} AS node_path, added, removed FROM ch)
         SELECT node_path, sum(added)::BIGINT AS lines_added_sum, round(avg(added), 6) AS lines_added_mean, max(removed) AS lines_removed_max, min(added + removed) AS lines_changed_min, sum(added + removed)::BIGINT AS lines_changed_sum
         FROM u GROUP BY 1 HAVING count(added) + count(removed) > 0""",
     "r17_fused_expressions": _fused(),
@@ -213,11 +223,12 @@ ORACLES = {
         b AS (SELECT node_path, count(*) AS all_dirs FROM du GROUP BY 1)
         SELECT node_path, direct_files, all_files, coalesce(all_dirs, 0) AS all_dirs FROM a LEFT JOIN b USING (node_path)""",
     "f09_directory_grain": f"WITH {N} SELECT repo_slug, tree_depth, count(*) AS dirs FROM n WHERE node_kind = 'dir' GROUP BY 1, 2",
-    "h01_history_metrics": f"""WITH {T}, p AS (SELECT repo_slug, file_path, epoch_us(min(touched_at)) AS lo, epoch_us(max(touched_at)) AS hi, count(DISTINCT author_email) AS author_count, count(*) AS commit_count,
-            coalesce(sum(added) FILTER (WHERE NOT coalesce(is_creation, false)), 0)::BIGINT AS total_lines_added, coalesce(sum(removed) FILTER (WHERE NOT coalesce(is_creation, false)), 0)::BIGINT AS total_lines_removed
-            FROM t WHERE touched_at IS NOT NULL GROUP BY 1, 2)
-        SELECT repo_slug, file_path, (epoch_us(TIMESTAMP '{AS_OF}') - lo) // 86400000000 AS file_age, (epoch_us(TIMESTAMP '{AS_OF}') - hi) // 86400000000 AS file_freshness, author_count, commit_count,
-            total_lines_added, total_lines_removed, round(commit_count / greatest(1.0, (hi - lo) / (3600000000.0 * 24 * 30.44)), 6) AS commit_density FROM p""",
+    "h01_history_metrics": f"WITH {HISTORY} SELECT repo_slug, file_path, file_age, file_freshness, author_count, commit_count, total_lines_added, total_lines_removed, commit_density FROM hist",
+    "h03_age_and_freshness": f"WITH {HISTORY} SELECT repo_slug, file_path, file_age, file_freshness FROM hist",
+    "h04_author_count": f"WITH {HISTORY} SELECT repo_slug, file_path, author_count FROM hist",
+    "h05_commit_count": f"WITH {HISTORY} SELECT repo_slug, file_path, commit_count FROM hist",
+    "h06_lines": f"WITH {HISTORY} SELECT repo_slug, file_path, total_lines_added, total_lines_removed FROM hist",
+    "h07_commit_density": f"WITH {HISTORY} SELECT repo_slug, file_path, commit_density FROM hist",
     "h02_commit_total": f"WITH {T} SELECT repo_slug, count(DISTINCT commit_hash) AS commits FROM t GROUP BY 1",
     "h08_history_of_files": f"""WITH {N}, k AS (SELECT DISTINCT repo_slug, {below_root("node_path")} AS file_path FROM n WHERE node_kind = 'file'),
         c AS (SELECT DISTINCT repo_slug, commit_hash, regexp_replace(replace(p, chr(92), '/'), '^(\\./+)+', '') AS file_path FROM (SELECT repo_slug, commit_hash, unnest(changed_paths) AS p FROM commits))
@@ -267,7 +278,7 @@ ORACLES = {
     "s03_log": f"WITH {SCATTER} SELECT node_id, round({PLOT.x} + {PLOT.w} * CASE WHEN lx = hx THEN 0.5 ELSE (ln(x) - ln(lx)) / (ln(hx) - ln(lx)) END, 6) AS px FROM dd, e WHERE lx > 0",
     "s04_radius": f"WITH {SCATTER} SELECT node_id, {RADIUS} AS radius FROM dd, e",
     "s05_bands": f"WITH {FILES}, c AS (SELECT DISTINCT file_type AS label FROM f), r AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS i, {PLOT.w} / count(*) OVER () AS s FROM c) SELECT label, round({PLOT.x} + i * s, 6) AS started, round({PLOT.x} + i * s + s, 6) AS ended, round({PLOT.x} + i * s + s / 2, 6) AS center FROM r",
-    "s06_draw_order": f"WITH {SCATTER} SELECT node_id, {RADIUS} AS radius, node_name AS label FROM dd, e ORDER BY radius DESC, label, node_id LIMIT 100",
+    "s06_draw_order": f"WITH {SCATTER} SELECT node_id, {RADIUS} AS radius, node_name AS label FROM dd, e ORDER BY radius DESC, label, node_id",
     "g01_spiral": _spiral(),
     "g02_discs": f"""WITH {grid("events", "ts", "DAY")}, k AS (SELECT bucket, count(e.ts) AS n FROM grid LEFT JOIN events e ON date_trunc('DAY', e.ts) = started GROUP BY 1), m AS (SELECT max(n) AS hi FROM k)
         SELECT bucket, round(CASE WHEN n = 0 THEN 0 ELSE least(40.0, greatest(12.0, 12 + 28 * sqrt(n / hi))) END, 6) AS radius FROM k, m""",

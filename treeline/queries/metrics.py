@@ -52,10 +52,15 @@ def touches(spark: SparkSession, d: str) -> DataFrame:
     return history.touch_facts(table(spark, d, "touches"))
 
 
+def changes(spark: SparkSession, d: str) -> DataFrame:
+    """A row per commit and file that it changed against all its parents."""
+    return history.file_changes(table(spark, d, "touches"))
+
+
 def commit_facts(spark: SparkSession, d: str) -> DataFrame:
-    """A row per touch: dir, lines-added, lines-removed, lines-changed."""
+    """A row per change: dir, lines-added, lines-removed, lines-changed."""
     path = F.concat_ws("/", "repo_slug", "file_path")
-    rows = touches(spark, d)
+    rows = changes(spark, d)
     return rows.select(tree.parent_of(path).alias("dir"), F.col("added").alias("lines-added"), F.col("removed").alias("lines-removed"), (F.col("added") + F.col("removed")).alias("lines-changed"))
 
 
@@ -177,13 +182,34 @@ def _as_of() -> Column:
 
 
 def h01(spark, d):
-    return _rounded(history.file_history(touches(spark, d), _as_of()), "commit_density")
+    return _rounded(history.file_history(changes(spark, d), _as_of()), "commit_density")
 
 
 def h02(spark, d):
     return touches(spark, d).groupBy("repo_slug").agg(F.count_distinct("commit_hash").alias("commits"))
 
 
+def h03(spark, d):
+    """Age and freshness in days."""
+    return h01(spark, d).select("repo_slug", "file_path", "file_age", "file_freshness")
+
+
+def h04(spark, d):
+    return h01(spark, d).select("repo_slug", "file_path", "author_count")
+
+
+def h05(spark, d):
+    return h01(spark, d).select("repo_slug", "file_path", "commit_count")
+
+
+def h06(spark, d):
+    return h01(spark, d).select("repo_slug", "file_path", "total_lines_added", "total_lines_removed")
+
+
+def h07(spark, d):
+    return h01(spark, d).select("repo_slug", "file_path", "commit_density")
+
+
 def _files(spark, d):
     files = nodes(spark, d).where("node_kind = 'file'")
     return files.select("repo_slug", _below_root(F.col("node_path")).alias("file_path"))
@@ -235,7 +261,7 @@ def _head_us() -> int:
 
 
 def _contributions(spark, d) -> DataFrame:
-    return authorship.contributions(touches(spark, d), F.concat_ws("/", "repo_slug", "file_path"))
+    return authorship.contributions(changes(spark, d), F.concat_ws("/", "repo_slug", "file_path"))
 
 
 def _active(spark, d) -> DataFrame:
@@ -243,10 +269,8 @@ def _active(spark, d) -> DataFrame:
 
 
 def _authorship(spark, d, directories: bool = False) -> DataFrame:
-    contrib = _contributions(spark, d)
-    if directories:
-        contrib = authorship.directory_contributions(contrib)
-    found = authorship.metrics(authorship.author_records(contrib, _head_us(), SETTINGS), _active(spark, d), _head_us(), SETTINGS)
+    records = authorship.directory_records if directories else authorship.author_records
+    found = authorship.metrics(records(_contributions(spark, d), _head_us(), SETTINGS), _active(spark, d), _head_us(), SETTINGS)
     return _rounded(found, "ownership_dominance", "contributor_entropy", "orphan_risk", "knowledge_handoff")
 
 
@@ -383,7 +407,7 @@ def b06(spark, d):
 
 def _scatter_rows(spark, d) -> DataFrame:
     facts = file_facts(spark, d).select("node_id", "node_name", "repo_slug", "node_path", F.col("file-size").alias("x"), F.col("file-lines").alias("y"), F.col("file-type").alias("category"))
-    seen = history.file_history(touches(spark, d), _as_of()).select(F.concat_ws("/", "repo_slug", "file_path").alias("node_path"), F.col("commit_count").alias("size"))
+    seen = history.file_history(changes(spark, d), _as_of()).select(F.concat_ws("/", "repo_slug", "file_path").alias("node_path"), F.col("commit_count").alias("size"))
     return facts.join(seen, "node_path", "left")
 
 
@@ -571,6 +595,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "f09_directory_grain": f09,
     "h01_history_metrics": h01,
     "h02_commit_total": h02,
+    "h03_age_and_freshness": h03,
+    "h04_author_count": h04,
+    "h05_commit_count": h05,
+    "h06_lines": h06,
+    "h07_commit_density": h07,
     "h08_history_of_files": h08,
     "h09_tracked_only": h09,
     "h10_against_all_parents": h10,
@@ -630,7 +659,7 @@ ORACLES = metric_sql.ORACLES
 def _view_nodes(spark, d) -> DataFrame:
     found = nodes(spark, d)
     facts = file_facts(spark, d).select("node_path", "file-size", "file-lines", "file-type")
-    seen = history.file_history(touches(spark, d), _as_of()).select(F.concat_ws("/", "repo_slug", "file_path").alias("node_path"), F.col("commit_count").alias("commit-count"), F.col("file_freshness").alias("file-freshness"), F.col("total_lines_added").alias("total-lines-added"))
+    seen = history.file_history(changes(spark, d), _as_of()).select(F.concat_ws("/", "repo_slug", "file_path").alias("node_path"), F.col("commit_count").alias("commit-count"), F.col("file_freshness").alias("file-freshness"), F.col("total_lines_added").alias("total-lines-added"))
     return found.join(facts, "node_path", "left").join(seen, "node_path", "left")
 
 
