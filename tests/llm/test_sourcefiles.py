@@ -30,6 +30,31 @@ MINIFIED = "".join(f"function {c}(x){{return x+{i}}}var q{c}=e.{c}||{i};" for i,
 DATA = "TABLE = {\n" + "".join(f' "key{i}": {i * 7919},\n' for i in range(40)) + "}\n"
 
 
+TEST_FILE = "package p\n" + "".join(
+    f'func Test{n}(t *testing.T) {{\n\tgot := Parse("{w}")\n\tif got != "{v}" {{\n\t\tt.Fatalf("got %v", got)\n\t}}\n}}\n\n'
+    for n, w, v in zip("Empty Blank Word Line Tab Quote Brace Comma Digit Sign Path Name".split(), "abcdefghijkl", "mnopqrstuvwx")
+)
+SWITCH = "func name(k int) string {\n\tswitch k {\n" + "".join(f'\tcase {i}:\n\t\treturn "{w}"\n' for i, w in enumerate("one two three four five six seven eight nine ten eleven".split())) + '\t}\n\treturn ""\n}\n'
+
+
+@pytest.mark.parametrize(
+    "ext,text,lines",
+    [
+        ("py", "w = w // 2 + h  # half\nif w: x = f(a,\n  'b#c')\n", ["w=w//2+h", "if w:x=f(a,'b#c')"]),
+        ("py", 's = """a # b\n"""\ny = 1; z = 2\n', ['s="""a # b\n"""', "y=1", "z=2"]),
+        ("rs", "fn f<'a, T: 'a>(x: &'a str) -> char { /* c */ 'x' }", ["fn f<'a,T:'a>(x:&'a str)->char{", "'x'", "}"]),
+        ("rs", 'let r = r#"a " b"#; let b = b\'q\';', ['let r=r#"a " b"#', "let b=b'q'"]),
+        ("js", 'class A { #count = 0; m() { return /["]/.test(this.#count) } }\nlet b = a / c / d;', ["class A{", "#count=0", "m(){", 'return /["]/.test(this.#count)', "}", "}", "let b=a/c/d"]),
+        ("ts", "const t = `a ${b} // c`\nfoo({a: 1, b: 2})\n", ["const t=`a ${b} // c`", "foo({a:1,b:2})"]),
+        ("c", '#include <a.h>\n#define X(a) \\\n  (a)\nint f(int a) { for (;;) { g("}"); } }', ["#include <a.h>", "#define X(a) \\ (a)", "int f(int a){", "for(;;){", 'g("}")', "}", "}"]),
+        ("css", ".a{margin:7px;color:#fff}/* x */ .b { background: url(x;y.png) }", [".a{", "margin:7px", "color:#fff", "}", ".b{", "background:url(x;y.png)", "}"]),
+        ("java", "int a = 1;\nchar c = '\\u0041'; // s\nString s = \"a;b\";", ["int a=1", "char c='\\u0041'", 'String s="a;b"']),
+    ],
+)
+def test_lexer_and_printer(ext, text, lines):
+    assert S.printed(S.lexemes(text, ext), ext) == lines
+
+
 @pytest.mark.parametrize(
     "text,ext,reason",
     [
@@ -44,6 +69,10 @@ DATA = "TABLE = {\n" + "".join(f' "key{i}": {i * 7919},\n' for i in range(40)) +
         ("\x01\ufffdRIFF" + "\ufffd" * 40, "py", "data"),
         ("", "go", None),
         (None, "go", None),
+        (TEST_FILE, "go", None),
+        (SWITCH, "go", None),
+        ("# The report is generated each night by cron.\nimport os\n", "py", None),
+        ("def half(w, h):\n    return w // 2 + h\n\ndef third(w):\n    return w // 3\n", "py", None),
         ("﻿" + HAND.replace("\n", "\r\n"), "go", None),
         (".a {\n  margin: 7px;\n}\n\n.b {\n  margin: 8px;\n}\n", "css", None),
     ],
@@ -88,7 +117,7 @@ def test_files(spark):
         (11, None, None, None, "file", "js", None, None, None, None),
         (None, "mine", "mine/z.go", "z.go", "file", "go", None, None, None, None),
     ]
-    body = "package q\n" + "".join(f"func f{c}(a int) int {{\n\treturn a + g{c}{c}(a)\n}}\n" for c in "abcdefgh")
+    body = "package q\n" + "".join(f"func f{c}(a int) int {{\n\treturn a + g{c}{c}(a)\n}}\n" for c in "ab")
     contents = [(1, HAND, "n"), (2, GENERATED, "n"), (4, HAND, "n"), (8, body, "n"), (9, "// theirs\n" + body, "n"), (10, HAND, "n"), (99, HAND, "n")]
     got = {r.node_id: r.reason for r in S.judged_files(spark.createDataFrame(nodes, NODES), spark.createDataFrame(contents, "node_id bigint, content string, reason string")).collect()}
     assert got == {1: None, 2: "generated", 3: "third-party", 4: None, 5: "generated", 8: "third-party", 9: "third-party", 10: None, 11: None, 12: "data"}
