@@ -169,8 +169,47 @@ def test_spiral_and_surface(spark):
     assert got[0.0, 0.0] == 1.0 and got[1.0, 0.0] == pytest.approx(2.0) and got[20.0, 20.0] is None
     band = layout.clip_to_band([(0, 0, 0.0), (4, 0, 4.0), (0, 4, 0.0)], 1, 2)
     assert min(p[2] for p in band) == 1 and max(p[2] for p in band) == 2
-    near = layout.support_radius(spark.createDataFrame(obs[:2], "ox double, oy double, value double"), 5.0).first().radius
-    assert near == 4.0
+    assert layout.support_radius(spark.createDataFrame(obs[:2], "ox double, oy double, value double")).first().radius == 4.0
+
+
+def test_support_radius_against_brute_force(spark):
+    r = random.Random(9)
+    clustered = [(c + r.random(), c * r.random()) for c in (0.0, 3.0, 900.0) for _ in range(40)] + [(5000.0, 5000.0)] * 3 + [(0.5, 0.5)] * 5
+    for places in (clustered, [(float(2**i), 0.0) for i in range(20)]):
+        d = sorted(min(x for q in places if (x := math.hypot(p[0] - q[0], p[1] - q[1])) > 0) for p in places)
+        df = spark.createDataFrame([(*p, "x") for p in places] + [(None, 1.0, "x")], "ox double, oy double, d string")
+        assert layout.support_radius(df).first().radius == pytest.approx(2 * d[math.ceil(0.9 * len(d)) - 1])
+    assert layout.support_radius(df.limit(0)).first().radius is None
+    assert layout.support_radius(spark.createDataFrame([(1.0, 1.0)] * 4, "ox double, oy double")).first().radius is None
+
+
+def test_mesh_is_delaunay():
+    r = random.Random(10)
+    points = [(r.uniform(0, 100), r.uniform(0, 40)) for _ in range(60)] + [(50.0, 20.0)] * 3
+    found = layout.delaunay(points)
+    for t in found:
+        (ax, ay), (bx, by), (cx, cy) = (points[i] for i in t)
+        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+        ux = ((ax**2 + ay**2) * (by - cy) + (bx**2 + by**2) * (cy - ay) + (cx**2 + cy**2) * (ay - by)) / d
+        uy = ((ax**2 + ay**2) * (cx - bx) + (bx**2 + by**2) * (ax - cx) + (cx**2 + cy**2) * (bx - ax)) / d
+        assert all(math.hypot(x - ux, y - uy) >= math.hypot(ax - ux, ay - uy) - 1e-7 for x, y in points)
+    square = [(float(x), float(y)) for x in range(5) for y in range(4)]
+    assert sum(layout.polygon_area([square[i] for i in t]) for t in layout.delaunay(square)) == pytest.approx(12.0)
+    assert layout.delaunay([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)]) == [] and layout.delaunay([]) == []
+
+
+def test_bands(spark):
+    r = random.Random(11)
+    rows = [(i, *(r.uniform(0, 10) for _ in range(9))) for i in range(80)] + [(90, 0.0, 0.0, 3.0, 4.0, 0.0, 3.0, 0.0, 4.0, 3.0), (91, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 2.0, 2.0, 1.0), (92, 0.0, 0.0, None, 1.0, 0.0, 1.0, 0.0, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "triangle bigint, x0 double, y0 double, v0 double, x1 double, y1 double, v1 double, x2 double, y2 double, v2 double")
+    parts = layout.bands(df, [3.0, 6.5]).collect()
+    for row in rows[:80]:
+        mine = [p for p in parts if p.triangle == row[0]]
+        assert sum(p.area for p in mine) == pytest.approx(layout.polygon_area([tuple(row[1:3]), tuple(row[4:6]), tuple(row[7:9])]))
+        assert all((-math.inf, 3.0, 6.5)[p.band] - 1e-9 <= v[2] <= (3.0, 6.5, math.inf)[p.band] + 1e-9 for p in mine for v in p.points)
+    assert [(p.band, p.area) for p in parts if p.triangle >= 90] == [(1, 8.0)]
+    with pytest.raises(ValueError):
+        layout.bands(df, [2.0, 2.0])
 
 
 def test_small_circles_fill_the_gaps_of_the_first():

@@ -312,17 +312,50 @@ def interpolate(points: DataFrame, observations: DataFrame, radius: float) -> Da
     return points.join(per, ["px", "py"], "left").select("px", "py", F.coalesce("hit", "mean").alias("value"))
 
 
-def support_radius(observations: DataFrame, cell: float) -> DataFrame:
-    """One row (radius): twice the 90th percentile of the distance to the nearest other observation, sought within cells of the given size."""
-    a = observations.select(F.col("ox").alias("px"), F.col("oy").alias("py")).distinct()
-    b = observations.select("ox", "oy").distinct()
-    size = F.lit(float(cell))
-    own = b.select(F.floor(F.col("ox") / size).alias("cx"), F.floor(F.col("oy") / size).alias("cy"), "ox", "oy")
+def nearest_distances(observations: DataFrame) -> DataFrame:
+    """(ox, oy, n, d): each place with its number of observations and the distance to the nearest other place.
+
+    Rounds of an equality join on square cells: a neighbour within the cells' size lies in one of the nine cells around a
+    place, so a distance up to that size is final. What finds none so near is sought again in cells twice as large. The first
+    size follows from the extent and the number of places; a single place has no neighbour and gives no row.
+    """
+    places = materialise(observations.where("ox IS NOT NULL AND oy IS NOT NULL AND NOT isnan(ox) AND NOT isnan(oy)").groupBy("ox", "oy").agg(F.count("*").alias("n")))
+    e = places.agg(F.count("*").alias("n"), (F.max("ox") - F.min("ox")).alias("w"), (F.max("oy") - F.min("oy")).alias("h")).first()
+    empty = places.select("ox", "oy", "n", F.lit(0.0).alias("d")).limit(0)
+    if e.n < 2:
+        return empty
+    extent = math.hypot(e.w, e.h)
+    size, open_places, found = extent / math.sqrt(e.n), places, empty
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    keyed = a.select("px", "py", F.explode(steps).alias("s")).select("px", "py", (F.floor(F.col("px") / size) + F.col("s.i")).alias("cx"), (F.floor(F.col("py") / size) + F.col("s.j")).alias("cy"))
-    d = F.hypot(F.col("px") - F.col("ox"), F.col("py") - F.col("oy"))
-    nearest = keyed.join(own, ["cx", "cy"]).where(d > 0).groupBy("px", "py").agg(F.min(d).alias("d"))
-    return nearest.agg((2 * F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY d)")).alias("radius"))
+    while True:
+        cell = F.lit(size)
+        other = places.select(F.floor(F.col("ox") / cell).alias("cx"), F.floor(F.col("oy") / cell).alias("cy"), F.col("ox").alias("qx"), F.col("oy").alias("qy"))
+        keyed = open_places.select("ox", "oy", "n", F.explode(steps).alias("s"))
+        keyed = keyed.select("ox", "oy", "n", (F.floor(F.col("ox") / cell) + F.col("s.i")).alias("cx"), (F.floor(F.col("oy") / cell) + F.col("s.j")).alias("cy"))
+        d = F.hypot(F.col("ox") - F.col("qx"), F.col("oy") - F.col("qy"))
+        near = keyed.join(other, ["cx", "cy"], "left").groupBy("ox", "oy", "n").agg(F.min(F.when(d > 0, d)).alias("d"))
+        last = size >= extent
+        near = materialise(near.withColumn("final", F.coalesce(F.col("d") <= size, F.lit(False)) | F.lit(last)))
+        found = found.unionByName(near.where("final").drop("final"))
+        open_places = near.where("NOT final").select("ox", "oy", "n")
+        if last or open_places.isEmpty():
+            return found
+        size = min(2 * size, extent)
+
+
+def support_radius(observations: DataFrame, percentile: float = 0.9, times: float = 2.0) -> DataFrame:
+    """One row (radius): a multiple of a percentile of the observations' distances to the nearest other place; NULL if there is none.
+
+    A place counts as often as it was observed. Distances are summed up by value, and the one at the rank is found among
+    running totals over range partitions.
+    """
+    per = materialise(nearest_distances(observations).groupBy("d").agg(F.sum("n").alias("n")).repartitionByRange("d").withColumn("part", F.spark_partition_id()))
+    parts = per.groupBy("part").agg(F.sum("n").alias("of_part"))
+    before = parts.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("before"))  # a row per partition
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("d"))
+    total = parts.agg(F.sum("of_part").alias("total"))
+    ranked = per.withColumn("upto", within).join(F.broadcast(before), "part").crossJoin(F.broadcast(total))
+    return ranked.where(F.col("upto") + F.col("before") >= F.ceil(F.lit(percentile) * F.col("total"))).agg((F.lit(times) * F.min("d")).alias("radius"))
 
 
 def poisson_points(width: float, height: float, distance: float, seed: int = 1, tries: int = 20) -> list[tuple[float, float]]:
@@ -370,3 +403,80 @@ def clip_to_band(triangle: list[tuple[float, float, float]], lo: float, hi: floa
                 cut.append(tuple(a + t * (b - a) for a, b in zip(p, q)))
         shape = cut
     return shape
+
+
+def band_parts(triangle: list[tuple[float, float, float]], breaks: list[float]) -> list[tuple[int, list[tuple[float, float, float]]]]:
+    """(band, polygon) of the parts of a triangle between rising breakpoints; a part without area is left out."""
+    edges = [-math.inf, *breaks, math.inf]
+    parts = ((k, clip_to_band(triangle, lo, hi)) for k, (lo, hi) in enumerate(zip(edges, edges[1:])))
+    flat = triangle[0][2] == triangle[1][2] == triangle[2][2]  # lies in one band, even on a breakpoint
+    own = sum(triangle[0][2] >= b for b in breaks)
+    return [(k, p) for k, p in parts if len(p) > 2 and polygon_area(p) > 0 and (not flat or k == own)]
+
+
+def polygon_area(points: list[tuple[float, ...]]) -> float:
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1]))) / 2
+
+
+def bands(triangles: DataFrame, breaks: list[float]) -> DataFrame:
+    """(triangle, band, points, area): the parts of each triangle that lie between the breakpoints; no shuffle.
+
+    triangles: triangle, and x, y, v with the suffixes 0, 1, 2. Corners without a value and triangles without area give none.
+    """
+    if any(a >= b for a, b in zip(breaks, breaks[1:])):
+        raise ValueError("breakpoints must rise")
+    corners = [f"{c}{i}" for i in range(3) for c in "xyv"]
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for key, *c in batch[["triangle", *corners]].itertuples(index=False):
+                shape = [tuple(c[:3]), tuple(c[3:6]), tuple(c[6:])]
+                if all(map(math.isfinite, c)) and polygon_area(shape) > 0:
+                    rows += [(key, k, [list(map(float, p)) for p in part], polygon_area(part)) for k, part in band_parts(shape, breaks)]
+            yield pd.DataFrame(rows, columns=["triangle", "band", "points", "area"])
+
+    return triangles.select(F.col("triangle").cast("bigint").alias("triangle"), *(F.col(c).cast("double").alias(c) for c in corners)).na.drop().mapInPandas(cut, "triangle bigint, band int, points array<array<double>>, area double")
+
+
+def delaunay(points: list[tuple[float, float]]) -> list[tuple[int, int, int]]:
+    """Triangles (numbers of their corners, rising) in whose circumcircles no other point lies: points are put in one by one.
+
+    For the points of one picture (hundreds to a few thousand). Repeated points count once; points on one line give no triangle.
+    """
+    xy = np.asarray(points, float).reshape(-1, 2)
+    if len(xy) < 3:
+        return []
+    n, span = len(xy), float(np.ptp(xy, axis=0).max()) or 1.0
+    cx, cy = xy.mean(axis=0)
+    far = 1000 * span
+    corner = np.vstack([xy, [[cx - far, cy - far], [cx + far, cy - far], [cx, cy + far]]])
+
+    def circle(t: tuple[int, int, int]) -> tuple[float, float, float]:
+        (ax, ay), (bx, by), (px, py) = corner[list(t)]
+        d = 2 * ((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+        if d == 0:
+            return ax, ay, math.inf
+        b2, p2 = (bx - ax) ** 2 + (by - ay) ** 2, (px - ax) ** 2 + (py - ay) ** 2
+        ux, uy = ((py - ay) * b2 - (by - ay) * p2) / d, ((bx - ax) * p2 - (px - ax) * b2) / d
+        return ax + ux, ay + uy, ux * ux + uy * uy
+
+    first = (n, n + 1, n + 2)
+    held, circles = [first], np.array([circle(first)])
+    seen: set[tuple[float, float]] = set()
+    for k in np.lexsort((xy[:, 1], xy[:, 0])).tolist():
+        x, y = xy[k]
+        if (x, y) in seen:
+            continue
+        seen.add((x, y))
+        inside = (circles[:, 0] - x) ** 2 + (circles[:, 1] - y) ** 2 < circles[:, 2] * (1 - 1e-12)
+        rim: dict[tuple[int, int], int] = {}
+        for i in np.flatnonzero(inside).tolist():
+            a, b, c = held[i]
+            for e in ((a, b), (b, c), (a, c)):
+                rim[e] = rim.get(e, 0) + 1
+        fresh = [tuple(sorted((*e, k))) for e, times in rim.items() if times == 1]
+        held = [held[i] for i in np.flatnonzero(~inside).tolist()] + fresh
+        circles = np.vstack([circles[~inside], [circle(t) for t in fresh]]) if fresh else circles[~inside]
+    out = [t for t in held if t[2] < n]
+    return sorted(t for t in out if polygon_area([tuple(corner[i]) for i in t]) > 1e-12 * span * span)

@@ -288,6 +288,17 @@ ORACLES = {
         w AS (SELECT px, py, value, t, 1 - t * t * t * (t * (t * 6 - 15) + 10) AS w FROM q WHERE t < 1),
         s AS (SELECT px, py, coalesce(avg(value) FILTER (WHERE t = 0), sum(w * value) / sum(w)) AS value FROM w GROUP BY 1, 2)
         SELECT px, py, round(value, 6) AS value FROM p LEFT JOIN s USING (px, py)""",
+    "l06_bands": """WITH o AS (SELECT o_custkey, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, CAST(o_orderkey % 1000 AS DOUBLE) AS y, o_totalprice AS v, o_orderkey AS k FROM orders),
+        t AS (SELECT k AS triangle, x AS x0, y AS y0, v AS v0, lead(x, 1) OVER w AS x1, lead(y, 1) OVER w AS y1, lead(v, 1) OVER w AS v1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2, lead(v, 2) OVER w AS v2
+              FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY x, y, v, k)),
+        a AS (SELECT *, abs((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)) / 2 AS area, least(v0, v1, v2) AS lo, greatest(v0, v1, v2) AS hi FROM t WHERE x2 IS NOT NULL)
+        SELECT triangle, round(area, 4) AS area, (lo >= 50000)::BIGINT + (lo >= 120000)::BIGINT + (lo >= 200000)::BIGINT + (lo >= 300000)::BIGINT AS lowest,
+            (hi > 50000)::BIGINT + (hi > 120000)::BIGINT + (hi > 200000)::BIGINT + (hi > 300000)::BIGINT AS highest FROM a WHERE area > 0""",
+    "l07_support_radius": """WITH o AS (SELECT CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS ox, round(o_totalprice / 1000, 0) AS oy FROM orders),
+        p AS (SELECT ox, oy, count(*) AS n FROM o GROUP BY 1, 2),
+        d AS (SELECT a.ox, a.oy, any_value(a.n) AS n, min(sqrt((a.ox - b.ox) * (a.ox - b.ox) + (a.oy - b.oy) * (a.oy - b.oy))) AS d FROM p a JOIN p b ON a.ox <> b.ox OR a.oy <> b.oy GROUP BY 1, 2),
+        r AS (SELECT d, sum(n) OVER (ORDER BY d, ox, oy ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER () AS total FROM d)
+        SELECT round(2 * min(d), 6) AS radius FROM r WHERE upto >= ceil(0.9 * total)""",
     "e02_metrics": _catalogue()[0],
     "e03_expressions": _catalogue()[1],
     "e04_summary": f"WITH {N} SELECT count(*) FILTER (WHERE node_kind = 'file') AS files, count(*) FILTER (WHERE node_kind = 'dir') AS dirs, count(*) FILTER (WHERE node_kind = 'file' AND extension IS NULL) AS without_extension, count(*) FILTER (WHERE node_kind = 'file' AND is_binary IS NULL) AS without_is_binary FROM n",

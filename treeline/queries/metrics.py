@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline import views
@@ -522,6 +522,37 @@ def l04(spark, d):
     return spark.createDataFrame(points, "x double, y double")
 
 
+def _order_places(spark, d) -> DataFrame:
+    """Orders as places of day and price."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double")
+    return table(spark, d, "orders").select(day.alias("ox"), F.round(F.col("o_totalprice") / 1000, 0).alias("oy"))
+
+
+def l05(spark, d):
+    """The mesh over the points that fill a picture."""
+    points = layout.poisson_points(60.0, 45.0, 4.0)
+    rows = [(i, *(float(c) for k in t for c in points[k])) for i, t in enumerate(layout.delaunay(points))]
+    return spark.createDataFrame(rows, "triangle bigint, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double")
+
+
+BREAKS = [50_000.0, 120_000.0, 200_000.0, 300_000.0]
+
+
+def l06(spark, d):
+    """Each order and the two next ones of its customer as a triangle over day and number, cut into bands of price: areas, summed."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double")
+    orders = table(spark, d, "orders").select("o_custkey", F.struct(day.alias("x"), (F.col("o_orderkey") % 1000).cast("double").alias("y"), F.col("o_totalprice").alias("v"), "o_orderkey").alias("p"))
+    next_ones = Window.partitionBy("o_custkey").orderBy("p")
+    rows = orders.select(F.col("p").alias("p0"), F.lead("p", 1).over(next_ones).alias("p1"), F.lead("p", 2).over(next_ones).alias("p2")).where("p2 IS NOT NULL")
+    triangles = rows.select(F.col("p0.o_orderkey").alias("triangle"), *(F.col(f"p{i}.{c}").alias(f"{c}{i}") for i in range(3) for c in "xyv"))
+    cut = layout.bands(triangles, BREAKS).groupBy("triangle").agg(F.round(F.sum("area"), 4).alias("area"), F.min("band").alias("lowest"), F.max("band").alias("highest"))
+    return cut.select("triangle", "area", F.col("lowest").cast("bigint").alias("lowest"), F.col("highest").cast("bigint").alias("highest"))
+
+
+def l07(spark, d):
+    return _rounded(layout.support_radius(_order_places(spark, d)), "radius")
+
+
 # documents and catalogues
 
 
@@ -642,6 +673,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l02_surface": l02,
     "l03_bubbles": l03,
     "l04_poisson": l04,
+    "l05_mesh": l05,
+    "l06_bands": l06,
+    "l07_support_radius": l07,
     "e01_documents": e01,
     "e02_metrics": e02,
     "e03_expressions": e03,
