@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 
-from treeline.operators import bucketing, globs, layout, scatter
+from treeline.operators import bucketing, scatter
 from treeline.plans.expr import valid_expressions
 from treeline.plans.registry import base_registry
 
@@ -50,13 +50,20 @@ def texts(column: str) -> str:
     return f"WITH {FILES}, u AS (SELECT {up('dir')} AS node_path, * FROM f), c AS (SELECT node_path, {column} AS v, count(*) AS n FROM u WHERE {column} IS NOT NULL GROUP BY 1, 2) "
 
 
-def sql_globs(path: str, rules: list[globs.Rule]) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({path}, '{globs.to_regex(r.pattern)}') THEN {str(r.include).lower()}" for r in rules) + " ELSE true END"
+def last_name(p: str) -> str:
+    return f"string_split({p}, '/')[-1]"
 
 
-RULES = [globs.parse_rule(r) for r in ("!**/vendor", "!*_test.go", "*.go", "!*.py", "!src/**", "docs", "!docs/**/lib")]
-CLASSES = (("tests", ("*_test.*", "tests/**")), ("docs", ("docs/**", "*.md")), ("go", ("*.go",)), ("web", ("*.{js,ts,css}",)), ("rest", ("**",)))
-CLASS_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f"regexp_matches(p, '{globs.to_regex(x)}')" for x in ps)} THEN '{name}'" for name, ps in CLASSES) + " END"
+def rules_sql(p: str) -> str:
+    """The rules of the queries said in plain string functions; the first that fits decides."""
+    return f"""CASE WHEN {last_name(p)} = 'vendor' THEN false WHEN ends_with({p}, '_test.go') THEN false WHEN ends_with({p}, '.go') THEN true WHEN ends_with({p}, '.py') THEN false
+        WHEN list_contains(string_split({p}, '/')[:-2], 'src') THEN false WHEN {last_name(p)} = 'docs' THEN true
+        WHEN {last_name(p)} = 'lib' AND list_contains(string_split({p}, '/')[:-2], 'docs') THEN false ELSE true END"""
+
+
+CLASS_SQL = f"""CASE WHEN contains({last_name("p")}, '_test.') OR list_contains(string_split(p, '/')[:-2], 'tests') THEN 'tests'
+    WHEN list_contains(string_split(p, '/')[:-2], 'docs') OR ends_with(p, '.md') THEN 'docs' WHEN ends_with(p, '.go') THEN 'go'
+    WHEN ends_with(p, '.js') OR ends_with(p, '.ts') OR ends_with(p, '.css') THEN 'web' ELSE 'rest' END"""
 
 CONTRIB = f"""{CH}, c AS (SELECT repo_slug || '/' || file_path AS node, author_email AS email, epoch_us(touched_at) AS at_us, coalesce(added, 0) + coalesce(removed, 0) AS w
     FROM ch WHERE author_email IS NOT NULL AND touched_at IS NOT NULL)"""
@@ -124,14 +131,13 @@ RADIUS = f"round(CASE WHEN {LARGEST} <= 12 OR ls = hs THEN {LARGEST} ELSE 12 + (
 
 
 def _spiral() -> str:
-    """The cadence depends on the number of buckets: one row of constants for each number of days up to 200."""
-    rows = []
-    for n in range(2, 200):
-        lap = layout.daily_cadence(n, 1200.0, 900.0)
-        rows.append(f"({n}, {lap})")
-    outer = min(1200.0, 900.0) / 2 - 40.0
-    return f"""WITH {grid("events", "ts", "DAY")}, lap(n, lap) AS (VALUES {", ".join(rows)}), k AS (SELECT count(*) AS n FROM grid),
-        p AS (SELECT bucket, bucket * 2 * pi() / lap AS theta, {outer} / 3 + {outer} * 2 / 3 / ((k.n - 1) * 2 * pi() / lap) * (bucket * 2 * pi() / lap) AS r FROM grid, k JOIN lap USING (n))
+    """The spots per lap of seven that leave the evenest gaps at the middle radius, 28 winning ties, on a spiral from a third of the radius outwards."""
+    outer = 900 / 2 - 40
+    return f"""WITH {grid("events", "ts", "DAY")}, k AS (SELECT count(*) AS n FROM grid),
+        laps AS (SELECT lap, n, {outer} / 3.0 AS inside, (n - 1) * 2 * pi() / lap AS turn FROM k, (SELECT unnest([14, 28, 42, 56, 84, 112, 168]) AS lap)),
+        u AS (SELECT *, {outer} * 2 / 3.0 / turn AS growth FROM laps),
+        best AS (SELECT lap, inside, growth FROM u ORDER BY abs(2 * pi() * growth - (inside + growth * turn / 2) * 2 * pi() / lap), lap <> 28, lap LIMIT 1),
+        p AS (SELECT bucket, bucket * 2 * pi() / lap AS theta, inside + growth * bucket * 2 * pi() / lap AS r FROM grid, best)
         SELECT bucket, round(theta, 6) AS theta, round(r, 6) AS r, round(600 + r * sin(theta), 6) AS x, round(450 - r * cos(theta), 6) AS y FROM p"""
 
 
@@ -209,9 +215,9 @@ ORACLES = {
         FROM u GROUP BY 1 HAVING count(added) + count(removed) > 0""",
     "r17_fused_expressions": _fused(),
     "r18_direct_weight": f"WITH {FILES} SELECT dir AS node_path, CASE WHEN coalesce(sum(file_size), 0) > 0 THEN sum(file_size)::BIGINT ELSE count(*) END AS weight FROM f GROUP BY 1",
-    "f01_ordered_globs": f"WITH {N} SELECT node_path, {sql_globs(below_root('node_path'), RULES)} AS included FROM n WHERE node_kind = 'file'",
+    "f01_ordered_globs": f"WITH {N} SELECT node_path, {rules_sql(below_root('node_path'))} AS included FROM n WHERE node_kind = 'file'",
     "f02_subtree_prune": f"""WITH {N}, u AS (SELECT node_path, {up(below_root("node_path"))} AS p FROM n WHERE node_kind = 'file')
-        SELECT node_path FROM u GROUP BY 1 HAVING bool_and({sql_globs("p", RULES)})""",
+        SELECT node_path FROM u GROUP BY 1 HAVING bool_and({rules_sql("p")})""",
     "f03_classification": f"WITH {N}, u AS (SELECT node_path, {below_root('node_path')} AS p FROM n WHERE node_kind = 'file') SELECT node_path, {CLASS_SQL} AS class FROM u",
     "f04_file_lines": f"WITH {FILES} SELECT node_id, file_lines, file_size FROM f",
     "f05_extension": f"WITH {N} SELECT node_id, {KIND} AS extension FROM n WHERE node_kind = 'file'",
