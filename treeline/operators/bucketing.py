@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.session import materialise
+
 # The palettes, from the low to the high end.
 PALETTES = {
     "neutral": "#000000 #202020 #404040 #606060 #808080 #a0a0a0 #c0c0c0 #e0e0e0 #ffffff",
@@ -37,15 +39,15 @@ def boundaries(values: DataFrame, value: str, steps: int) -> DataFrame:
     """One row (boundaries, min, max, n): the sorted values at places i*n/steps, rounded, each once, those <= min dropped.
 
     The exact value at a place comes from the running count over distinct values, of which the range-partitioned counts are
-    summed per partition first: no single task sorts all rows.
+    summed per partition first: no single task sorts all rows. The ranges are written, so that all readings see the same ones.
     """
     counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    sliced = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    sliced = materialise(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
     per = sliced.groupBy("part").agg(F.sum("c").alias("size"))
     before = per.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
     within = F.sum("c").over(Window.partitionBy("part").orderBy("v"))
     upto = sliced.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + within).withColumn("from", F.col("upto") - F.col("c"))
-    ends = counts.agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = sliced.agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     places = ends.select("n", "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(max(steps - 1, 1)))).alias("i")).withColumn("place", F.floor(F.col("i") * F.col("n") / F.lit(steps)).cast("bigint"))
     hit = F.broadcast(places).join(upto, (F.col("place") >= F.col("from")) & (F.col("place") < F.col("upto")))
     found = hit.where((F.col("lo") < F.col("hi")) & F.lit(steps > 1)).agg(F.array_sort(F.collect_set(significant(F.col("v")))).alias("b"))

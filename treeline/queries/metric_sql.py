@@ -288,6 +288,17 @@ ORACLES = {
     "g01_spiral": _spiral(),
     "g02_discs": f"""WITH {grid("events", "ts", "DAY")}, k AS (SELECT bucket, count(e.ts) AS n FROM grid LEFT JOIN events e ON date_trunc('DAY', e.ts) = started GROUP BY 1), m AS (SELECT max(n) AS hi FROM k)
         SELECT bucket, round(CASE WHEN n = 0 THEN 0 ELSE least(40.0, greatest(12.0, 12 + 28 * sqrt(n / hi))) END, 6) AS radius FROM k, m""",
+    "g03_radial": f"""WITH RECURSIVE {N}, fu AS (SELECT {up("parent_path")} AS node_path FROM n WHERE node_kind = 'file'), k AS (SELECT node_path, count(*) AS leaves FROM fu GROUP BY 1),
+        w AS (SELECT node_path, parent_path, node_kind, node_name, CASE WHEN node_kind = 'file' THEN 1 ELSE coalesce(leaves, 1) END AS weight FROM n LEFT JOIN k USING (node_path)),
+        s AS (SELECT *, sum(weight) OVER (PARTITION BY parent_path) AS units,
+            coalesce(sum(weight) OVER (PARTITION BY parent_path ORDER BY node_kind <> 'file', node_name, node_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM w WHERE parent_path IS NOT NULL),
+        r(node_path, depth, started, sweep) AS (
+            SELECT node_path, 0, -pi() / 2, 2 * pi() FROM w WHERE parent_path IS NULL
+            UNION ALL
+            SELECT node_path, depth, p_start + pad + (p_sweep - 2 * pad) / units * ahead, (p_sweep - 2 * pad) / units * weight FROM (
+                SELECT s.node_path, r.depth + 1 AS depth, r.started AS p_start, r.sweep AS p_sweep, units, ahead, weight, CASE WHEN r.depth > 0 THEN r.sweep / (units + 2) ELSE 0 END AS pad
+                FROM r JOIN s ON s.parent_path = r.node_path))
+        SELECT node_path, depth, round(sweep, 6) AS sweep, round(started + sweep / 2, 6) AS angle, round(40 * depth * cos(started + sweep / 2), 6) AS x, round(40 * depth * sin(started + sweep / 2), 6) AS y FROM r""",
     "l02_surface": """WITH o AS (SELECT CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS ox, CAST(o_custkey % 97 AS DOUBLE) AS oy, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2),
         p AS (SELECT ox + 0.5 AS px, oy AS py FROM o),
         q AS (SELECT px, py, value, sqrt((px - ox) * (px - ox) + (py - oy) * (py - oy)) / 3.0 AS t, ox FROM p JOIN o ON ox BETWEEN px - 3 AND px + 3 AND oy BETWEEN py - 3 AND py + 3),
