@@ -4,6 +4,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,6 +159,19 @@ def test_equal_gaps_leave_a_short_spine():
     assert sum(not r[6] for r in rows) <= 4
 
 
+def test_an_entity_is_cut_into_chunks_by_rows():
+    r = random.Random(12)
+    times = sorted(r.sample(range(3000), 200))
+    frame = pd.DataFrame({"entity": ["e"] * 200 + ["f"], "started": [*times, 5], "ended": [*times, 5], "n": 1, "leaf": True})
+    out = pd.concat(list(sessions._chunk(iter([frame[k : k + 7] for k in range(0, 201, 7)]), most=20)))
+    mine = out[out["entity"] == "e"]
+    assert len(mine[~mine["final"].astype(bool)]) > 20  # several chunks, each with a spine of its own
+    merged = pd.concat([mine[mine["final"].astype(bool)], sessions._merge(("e",), mine[~mine["final"].astype(bool)])])
+    rows = [(e, g, None if pd.isna(p) else p, a, b, n) for e, g, p, a, b, n in merged.iloc[:, :6].itertuples(index=False)]
+    for threshold in (0, 3, 9, 30):
+        assert cut(rows, threshold) == brute_sessions(times, threshold)
+
+
 def test_sessions_spark(spark):
     random.seed(3)
     rows = [(random.choice(["hot"] * 5 + ["b", "c", None]), None if random.random() < 0.05 else random.randrange(5_000), "x") for _ in range(3000)]
